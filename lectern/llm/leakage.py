@@ -11,16 +11,19 @@ item-sized windows of the corpus at these offsets are compared character by char
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import unicodedata as U
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import checkpointed
-from lectern.llm.normalform import with_form
+from lectern.llm.normalform import DROPPED, LAST, blocks_of, code_tables, codes_of, comparison_form
 
 #: Characters of an unbroken run, and the share of the item that such runs must cover.
 MIN_RUN, LEAST_COVER = 60, (2, 5)
@@ -35,19 +38,50 @@ BLOCK_CHARS = 1 << 20
 
 # Letters whose capitals look alike though they themselves do not.
 CAPITAL_TWINS = ("вкмнтηικμτυχ", "bkmhthikmtyx")
-_MARKUP = "</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};"
+_MARKUP = re.compile("</?[A-Za-z][^<>]{0,200}>|&#?[A-Za-z0-9]{1,8};")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def letters_column(form: Column) -> Column:
-    """Letters, digits and vowel signs of a comparison form, without case."""
-    return F.translate(F.regexp_replace(F.lower(form), r"[^\p{L}\p{N}\p{M}]+", ""), *CAPITAL_TWINS)
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    """For each code point of a comparison form its letter without case, ``DROPPED`` for what does not count."""
+    twins = dict(zip(*CAPITAL_TWINS))
+    out = np.full(LAST + 1, DROPPED, np.uint32)
+    for code in range(0x30000):
+        char = chr(code)
+        if U.category(char)[0] in "LNM":
+            lower = char.lower()
+            char = lower if len(lower) == 1 else char
+            out[code] = ord(twins.get(char, char))
+    return out
 
 
-def with_letters(df: DataFrame) -> DataFrame:
-    """Adds ``letters`` to a table with ``text``; null texts give null."""
-    bare = df.withColumn("text", F.regexp_replace("text", _MARKUP, " "))
-    return with_form(bare).withColumn("letters", letters_column(F.col("form"))).drop("form", "text")
+@lru_cache(maxsize=1)
+def _direct_table() -> np.ndarray:
+    form, _ = code_tables()
+    return _letter_table()[np.minimum(form, LAST)]
+
+
+def letter_codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters, digits and vowel signs of all texts in their comparison form and without case, markup left out, and
+    where each text begins, with the end of the last."""
+    texts = [(_MARKUP.sub(" ", t) if "<" in t or "&" in t else t).replace("…", ".") for t in texts]
+    raw, at = codes_of(texts)
+    raw = np.minimum(raw, LAST)
+    unstable = np.concatenate([[0], np.cumsum(code_tables()[1][raw])])[at]
+    mapped = _direct_table()[raw]
+    kept = mapped != DROPPED
+    place = np.concatenate([[0], np.cumsum(kept)])[at]
+    mapped = mapped[kept]
+    slow = np.flatnonzero(unstable[1:] != unstable[:-1]).tolist()
+    if slow:
+        parts = [mapped[a:b] for a, b in zip(place.tolist(), place[1:].tolist())]
+        for k in slow:
+            found = _letter_table()[np.minimum(codes_of([comparison_form(texts[k])])[0], LAST)]
+            parts[k] = found[found != DROPPED]
+        mapped = np.concatenate(parts)
+        place = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    return mapped, place.astype(np.int64)
 
 
 def _powers(size: int, base: np.uint64) -> np.ndarray:
@@ -60,10 +94,6 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWER, _UNDO = _powers(BLOCK_CHARS + GRAM, _BASE), _powers(BLOCK_CHARS + GRAM, _INVERSE)
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
-
-
 def gram_hashes(chars: np.ndarray) -> np.ndarray:
     """Hashes of all grams of at most ``BLOCK_CHARS + GRAM - 1`` characters; equal grams have equal hashes."""
     if len(chars) < GRAM:
@@ -73,12 +103,16 @@ def gram_hashes(chars: np.ndarray) -> np.ndarray:
     return (sums[GRAM:] - sums[:-GRAM]) * _UNDO[: len(chars) - GRAM + 1]
 
 
-def item_shingles(letters: str) -> list[tuple[int, int]]:
+def hashed(chars: np.ndarray) -> np.ndarray:
+    """:func:`gram_hashes` of any number of characters."""
+    return np.concatenate([gram_hashes(chars[a : a + BLOCK_CHARS + GRAM - 1]) for a in range(0, max(1, len(chars) - GRAM + 1), BLOCK_CHARS)])
+
+
+def item_shingles(letters: np.ndarray) -> list[tuple[int, int]]:
     """``(position, hash)`` of the shingles of an item; an item shorter than a run has none and is never found."""
     if len(letters) < MIN_RUN:
         return []
-    hashes = gram_hashes(codes(letters)) if len(letters) <= BLOCK_CHARS else np.concatenate([gram_hashes(codes(letters[a : a + BLOCK_CHARS + GRAM - 1])) for a in range(0, len(letters) - GRAM + 1, BLOCK_CHARS)])
-    return [(p, int(hashes[p].view(np.int64))) for p in range(0, len(letters) - GRAM + 1, STRIDE)]
+    return list(zip(range(0, len(letters) - GRAM + 1, STRIDE), hashed(letters)[::STRIDE].view(np.int64).tolist()))
 
 
 def needed(length: int) -> int:
@@ -92,39 +126,20 @@ def _hits(known: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << 20, bool)
         flags[(known >> np.uint64(44)).astype(np.int64)] = True
-
-        def look(block: np.ndarray, starts: list[int], ids: list[int], shift: int) -> tuple[np.ndarray, ...]:
-            hashes = gram_hashes(block)
-            at = np.flatnonzero(flags[(hashes >> np.uint64(44)).astype(np.int64)])
-            found = hashes[at]
-            place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            at, found = at[known[place] == found], found[known[place] == found]
-            document = np.searchsorted(np.array(starts), at, side="right") - 1
-            return np.array(ids)[document], found.view(np.int64), at - np.array(starts)[document] + shift
-
-        def blocks(batch: pa.RecordBatch):  # noqa: ANN202
-            texts, starts, ids, size = [], [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("letters").to_pylist()):
-                if not text or len(text) < MIN_RUN:
-                    continue
-                if len(text) >= BLOCK_CHARS:
-                    for a in range(0, len(text) - GRAM + 1, BLOCK_CHARS):
-                        yield look(codes(text[a : a + BLOCK_CHARS + GRAM - 1]), [0], [doc_id], a)
-                    continue
-                if size + len(text) + 1 > BLOCK_CHARS:
-                    yield look(codes("".join(texts)), starts, ids, 0)
-                    texts, starts, ids, size = [], [], [], 0
-                starts.append(size)
-                ids.append(doc_id)
-                texts += [text, "\0"]
-                size += len(text) + 1
-            if texts:
-                yield look(codes("".join(texts)), starts, ids, 0)
-
         for batch in batches:
-            for ids, hashes, places in blocks(batch):
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int64())], names=["doc_id", "gram", "d_pos"])
+            every = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for places, block in blocks_of(batch.column("text").to_pylist()):
+                letters, at = letter_codes(block)
+                hashes = hashed(letters)
+                where = np.flatnonzero(flags[(hashes >> np.uint64(44)).astype(np.int64)])
+                found = hashes[where]
+                same = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+                where, found = where[same], found[same]
+                document = np.searchsorted(at, where, side="right") - 1
+                inside = where + GRAM <= at[document + 1]  # grams that begin in one text and end in the next are none
+                where, found, document = where[inside], found[inside], document[inside]
+                if len(where):
+                    yield pa.RecordBatch.from_arrays([pa.array(every[np.array(places)[document]], pa.int64()), pa.array(found.view(np.int64)), pa.array(where - at[document])], names=["doc_id", "gram", "d_pos"])
 
     return run
 
@@ -147,18 +162,15 @@ def covered(item: np.ndarray, document: np.ndarray, offsets: list[int]) -> int:
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
 
-def _verified(items: dict[int, str]):  # noqa: ANN202
+def _verified(known: dict[int, np.ndarray]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         up, down = LEAST_COVER
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for doc_id, letters, candidates in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "letters", "candidates"))):
-                document = codes(letters)
+            for doc_id, text, candidates in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "candidates"))):
+                document = letter_codes([text])[0]
                 for candidate in candidates:
                     item_id = candidate["item_id"]
-                    if item_id not in known:
-                        known[item_id] = codes(items[item_id])
                     n = covered(known[item_id], document, candidate["offsets"])
                     if n * down >= len(known[item_id]) * up:
                         out.append((doc_id, item_id, n, len(known[item_id])))
@@ -168,14 +180,14 @@ def _verified(items: dict[int, str]):  # noqa: ANN202
     return run
 
 
-def _block(documents: DataFrame, letters: DataFrame, items: dict[int, str]) -> DataFrame | None:
+def _block(documents: DataFrame, items: dict[int, np.ndarray]) -> DataFrame | None:
     spark = documents.sparkSession
-    shingles = [(item_id, p, h, needed(len(text))) for item_id, text in items.items() for p, h in item_shingles(text)]
+    shingles = [(item_id, p, h, needed(len(letters))) for item_id, letters in items.items() for p, h in item_shingles(letters)]
     if not shingles:
         return None
     known = np.unique(np.array([h for _, _, h, _ in shingles], np.int64).view(np.uint64))
     of_items = spark.createDataFrame(shingles, "item_id long, a_pos int, gram long, needed int")
-    hits = checkpointed(letters.mapInArrow(_hits(known), "doc_id long, gram long, d_pos long"))
+    hits = checkpointed(documents.mapInArrow(_hits(known), "doc_id long, gram long, d_pos long"))
     frequency = hits.groupBy("gram").count()
     by_rarity = W.partitionBy("item_id").orderBy(F.coalesce("count", F.lit(0)), "a_pos")
     ranked = of_items.join(frequency, "gram", "left").withColumn("nth", F.row_number().over(by_rarity)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("item_id")))
@@ -187,7 +199,7 @@ def _block(documents: DataFrame, letters: DataFrame, items: dict[int, str]) -> D
     candidates = checkpointed(candidates)
     small = candidates.count() <= BROADCAST_CANDIDATES
     chosen = documents.join(F.broadcast(candidates) if small else candidates, "doc_id")
-    return with_letters(chosen).mapInArrow(_verified(items), "doc_id long, item_id long, covered long, item_chars long")
+    return chosen.select("doc_id", "text", "candidates").mapInArrow(_verified(items), "doc_id long, item_id long, covered long, item_chars long")
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -199,14 +211,13 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text").filter("text <> ''")
-    items = with_letters(eval_items.select("item_id", "text").filter("text <> ''")).filter(F.length("letters") >= MIN_RUN)
-    count = items.count()
-    blocks = -(-count // ITEMS_PER_BLOCK)
-    letters = with_letters(documents)
+    items = eval_items.select("item_id", "text").filter("text <> ''")
+    blocks = -(-items.count() // ITEMS_PER_BLOCK)
     found = []
     for k in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        part = _block(documents, letters, {r["item_id"]: r["letters"] for r in mine.collect()})
+        mine = (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).collect()
+        letters, at = letter_codes([r["text"] for r in mine])
+        part = _block(documents, {r["item_id"]: letters[a:b] for r, a, b in zip(mine, at[:-1], at[1:])})
         if part is not None:
             found.append(part)
     if not found:

@@ -2,10 +2,11 @@
 
 One form for all spellings of a text that a reader cannot tell apart. The work is split by a quick check:
 
-1. ``translate`` maps, inside generated code, every character whose form is one character or none: wide and
-   narrow forms, look-alike letters, radicals, spaces of any width, invisible characters.
-2. Rows in which a character remains that may combine with its neighbours or expands to several characters (the
-   "unstable" ones by the normalization quick check) go to Arrow batches. Only the unstable runs with the
+1. A table indexed by code point maps, for a whole Arrow batch at once, every character whose form is one character or
+   none: wide and narrow forms, look-alike letters, radicals, spaces of any width, invisible characters. (The same map
+   as ``translate`` in generated code takes several times as long, which was measured.)
+2. The same look-up tells which texts hold a character that may combine with its neighbours or expands to several
+   characters (the "unstable" ones by the normalization quick check). In those texts alone, the unstable runs with the
    character before them, the boundary context, are normalized and spliced into the unchanged rest.
 
 The comparison form writes look-alike letters of Cyrillic and Greek with their Latin twins. ``readable`` turns a
@@ -16,13 +17,14 @@ the same for all copies.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata as U
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import checkpointed
@@ -84,10 +86,10 @@ def tables() -> tuple[dict[int, str], frozenset[int]]:
     return {c: f for c, f in single.items() if c not in unstable}, frozenset(unstable)
 
 
-def _ranges(codes: set[int] | frozenset[int], gap: int) -> list[tuple[int, int]]:
+def _ranges(codes: frozenset[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for code in sorted(codes):
-        if out and code - out[-1][1] <= gap:
+        if out and code == out[-1][1] + 1:
             out[-1][1] = code
         else:
             out.append([code, code])
@@ -96,20 +98,42 @@ def _ranges(codes: set[int] | frozenset[int], gap: int) -> list[tuple[int, int]]
 
 @lru_cache(maxsize=1)
 def _unstable_runs() -> re.Pattern:
-    inner = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(tables()[1], 1))
-    return re.compile(f"[^{inner}]?[{inner}]+")
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(tables()[1])) + "]+")
 
 
-def quick_check_pattern() -> str:
-    """A Java pattern that finds every unstable character; it may find some stable ones too."""
-    rest = {c for c in tables()[1] if U.category(chr(c))[0] != "M"}
-    return "[\\p{M}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(rest, 24)) + "]"
+#: Code points from here on share one entry of the tables below: no character is mapped there but the invisible ones.
+LAST = 0xE1000
+DROPPED = 0xFFFFFFFF
 
 
-def _segment(match: re.Match) -> str:
+@lru_cache(maxsize=1)
+def code_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The form of each code point, ``DROPPED`` where it has none, and which code points are unstable."""
+    single, unstable = tables()
+    form = np.arange(LAST + 1, dtype=np.uint32)
+    form[np.array(list(single), np.int64)] = [ord(f) if f else DROPPED for f in single.values()]
+    form[0xE0000:LAST] = DROPPED
+    flags = np.zeros(LAST + 1, bool)
+    flags[np.array(sorted(unstable), np.int64)] = True
+    return form, flags
+
+
+def codes_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after the other, and where each text begins, with the end of the last."""
+    joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return joined, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+
+
+def _spliced(text: str) -> str:
+    """The text with its unstable runs, each with the character before it, in their form."""
     single = tables()[0]
-    expanded = U.normalize("NFD", _expanded(match[0])).translate(single)
-    return U.normalize("NFC", expanded).translate(single)
+    out, last = [], 0
+    for match in _unstable_runs().finditer(text):
+        begin = max(last, match.start() - 1)
+        expanded = U.normalize("NFD", _expanded(text[begin : match.end()])).translate(single)
+        out += [text[last:begin], U.normalize("NFC", expanded).translate(single)]
+        last = match.end()
+    return "".join([*out, text[last:]])
 
 
 def _expanded(text: str) -> str:
@@ -134,8 +158,29 @@ def comparison_form(text: str | None) -> str | None:
     """The comparison form of one text; null stays null and an empty text stays empty."""
     if text is None:
         return None
-    text = text.translate(tables()[0])
-    return _squeezed(_unstable_runs().sub(_segment, text))
+    return _squeezed(_spliced(text.translate(tables()[0])))
+
+
+def comparison_forms(texts: Sequence[str]) -> list[str]:
+    """:func:`comparison_form` of many texts at once."""
+    # The one frequent character that expands needs no context.
+    raw, at = codes_of([t.replace("…", "...") if "…" in t else t for t in texts])
+    form, flags = code_tables()
+    raw = np.minimum(raw, LAST)
+    unstable = np.concatenate([[0], np.cumsum(flags[raw])])[at]
+    mapped = form[raw]
+    kept = mapped != DROPPED
+    place = np.concatenate([[0], np.cumsum(kept)])[at].tolist()
+    joined = mapped[kept].tobytes().decode("utf-32-le", "surrogatepass")
+    out = []
+    for k, (a, b) in enumerate(zip(place, place[1:])):
+        text = joined[a:b]
+        if unstable[k] != unstable[k + 1]:
+            text = _spliced(text)
+        if "  " in text or "\n" in text or text[:1] == " " or text[-1:] == " ":
+            text = _squeezed(text)
+        out.append(text)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -163,20 +208,33 @@ def readable(form: str | None) -> str | None:
     return re.sub(r"[^\W\d_]+", word, form)
 
 
-def _splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs = _unstable_runs()
-    for batch in batches:
-        k = batch.schema.get_field_index("form")
-        forms = [None if t is None else _squeezed(runs.sub(_segment, t)) for t in batch.column(k).to_pylist()]
-        yield batch.set_column(k, "form", pa.array(forms, pa.string()))
+def blocks_of(texts: Sequence[str | None], most: int = 1 << 19) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts in blocks of about ``most`` characters, with their places; a longer text is a block. Nulls are left out."""
+    places, block, size = [], [], 0
+    for k, text in enumerate(texts):
+        if text is None:
+            continue
+        if block and size + len(text) > most:
+            yield places, block
+            places, block, size = [], [], 0
+        places.append(k)
+        block.append(text)
+        size += len(text)
+    if block:
+        yield places, block
 
 
-def translated(text: Column) -> Column:
-    """Step 1 as a column: every character that has a form of at most one character."""
-    single = tables()[0]
-    kept = {c: f for c, f in single.items() if f}
-    gone = [c for c, f in single.items() if not f]
-    return F.translate(text, "".join(map(chr, [*kept, *gone])), "".join(kept.values()))
+def _with_forms(text: str):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            forms: list[str | None] = [None] * len(stored)
+            for places, block in blocks_of(stored):
+                for k, form in zip(places, comparison_forms(block)):
+                    forms[k] = form
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names=[*batch.schema.names, "form"])
+
+    return run
 
 
 def with_form(df: DataFrame, text: str = "text") -> DataFrame:
@@ -184,12 +242,21 @@ def with_form(df: DataFrame, text: str = "text") -> DataFrame:
 
     Null text gives a null form, empty text an empty one. A column ``form`` in the input is replaced.
     """
-    first = df.withColumn("form", translated(F.col(text)))
-    stable = F.coalesce(~F.col("form").rlike(quick_check_pattern()), F.lit(True))
-    plain = first.filter(stable).withColumn("form", F.trim(F.regexp_replace(F.regexp_replace(F.col("form"), " *\n *", "\n"), " {2,}", " ")))
-    plain = plain.withColumn("form", F.regexp_replace(F.col("form"), "^[ \n]+|[ \n]+$", ""))
-    rest = first.filter(~stable)
-    return plain.unionByName(rest.mapInArrow(_splice, rest.schema))
+    plain = df.drop("form")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(_with_forms(text), f"{schema}, form string")
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for places, block in blocks_of(batch.column("text").to_pylist()):
+            forms = [f.encode("utf-8", "surrogatepass") for f in comparison_forms(block)]
+            seen = [k for k, f in enumerate(forms) if f]
+            kept = batch.select(["item_kind", "item_id", "p_i"]).take(pa.array([places[k] for k in seen], pa.int32()))
+            exact = [xxhash.xxh3_128_digest(forms[k]) for k in seen]
+            spelling = np.array([xxhash.xxh3_64_intdigest(block[k].encode("utf-8", "surrogatepass")) for k in seen], np.uint64).view(np.int64)
+            key = np.array([int.from_bytes(e[:8]) for e in exact], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(key), pa.array(spelling), pa.array(exact, pa.binary())], names=["item_kind", "item_id", "p_i", "key", "spelling", "exact"])
 
 
 def canonical_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -212,9 +279,8 @@ def same_looking_pairs(items: DataFrame, most_per_task: int = 2000) -> DataFrame
     are no items. Only classes with at least two spellings are joined; a class of more than ``most_per_task``
     members is spread over as many join keys as it has such blocks, so no task holds all pairs of a hot class.
     """
-    keyed = with_form(items.filter(F.length("text") > 0)).filter(F.length("form") > 0)
-    keyed = keyed.select("item_kind", "item_id", "p_i", F.xxhash64("form").alias("key"), F.xxhash64("text").alias("spelling"), F.unhex(F.md5("form")).alias("exact"))
-    keyed = checkpointed(keyed)
+    keyed = items.select("item_kind", "item_id", "p_i", "text").filter("text <> ''")
+    keyed = checkpointed(keyed.mapInArrow(_keys, "item_kind string, item_id long, p_i int, key long, spelling long, exact binary"))
     classes = keyed.groupBy("item_kind", "key").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     classes = classes.select("item_kind", "key", F.ceil(F.col("n") / most_per_task).cast("int").alias("blocks"))
     members = keyed.join(classes, ["item_kind", "key"])
@@ -223,6 +289,3 @@ def same_looking_pairs(items: DataFrame, most_per_task: int = 2000) -> DataFrame
     pairs = a.join(b, ["item_kind", "key", "block"]).filter("a_spelling <> b_spelling and a_exact = b_exact and (a_id < b_id or (a_id = b_id and a_p_i < b_p_i))")
     return pairs.select("item_kind", "a_id", "a_p_i", "b_id", "b_p_i")
 
-
-if sys.version_info < (3, 10):  # the tables rely on the character properties of Unicode 13 and later
-    raise RuntimeError("Python 3.10 or later is needed")

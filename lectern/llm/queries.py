@@ -106,7 +106,7 @@ def p7_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated_documents(truncation.inspected(table(spark, sf_dir, "documents")))
+    return truncation.truncated_documents(table(spark, sf_dir, "documents"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

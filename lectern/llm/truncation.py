@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.llm.common import checkpointed
 from lectern.llm.sentences import ENDING, NUMBERED, TITLES
 
 #: A limit: at least so many texts of a source stop at the length, so many times the mean of the lengths around it,
@@ -21,6 +22,10 @@ from lectern.llm.sentences import ENDING, NUMBERED, TITLES
 LEAST_AT_LIMIT, TIMES_AROUND, AROUND, UNFINISHED_SHARE = 4, 6.0, 25, 0.5
 #: A byte limit may cut up to this many bytes early, not to divide a character.
 BYTE_SLACK = 3
+#: A mark of omission may follow a cut from which up to this many spaces were stripped.
+OMISSION_SLACK = 3
+#: Characters of the end that are inspected.
+LOOKED_AT = 400
 #: How often words must stand at the end of other lines or sentences to be an ending.
 LEAST_ENDINGS = 2
 
@@ -44,55 +49,53 @@ def _ending() -> str:
 
 def unfinished(text: Column) -> Column:
     """Whether a text without outer space stops inside a word, sentence or quotation."""
-    bare = F.regexp_replace(F.substring(F.reverse(text), 1, 400), "[“”][^“”„]*„", "")
-    opened = bare.rlike("^[^»]{0,200}«") | bare.rlike("^[^」]{0,200}「") | bare.rlike("^[^』]{0,200}『") | bare.rlike("^[^”“]{0,200}“") | bare.rlike("^[^“”]{0,200}„")
+    bare = F.regexp_replace(F.reverse(text), "[“”][^“”„]*„", "")
+    opened = bare.rlike("^[^»]{0,80}«") | bare.rlike("^[^」]{0,80}「") | bare.rlike("^[^』]{0,80}『") | bare.rlike("^[^”“]{0,80}“") | bare.rlike("^[^“”]{0,80}„")
     ended = text.rlike(_ENDS)
     abbreviated = text.rlike(_abbreviation()) | (text.rlike(_SINGLE) & ~text.rlike(_ending()))
     return (~ended & ~text.rlike(_PICTURE)) | opened | (ended & abbreviated)
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+#: The encodings, in the order of the lengths.
+ENCODINGS = ("chars", "utf8", "utf8_undamaged", "utf16", "html", "html_text", "html_utf8", "json", "json_ascii", "crlf", "crlf_utf8")
+
+
+def _count(text: Column, *chars: str) -> Column:
+    """How often the characters stand in the text."""
+    return F.length(text) - F.length(F.translate(text, "".join(chars), ""))
 
 
 def lengths(text: Column) -> Column:
-    """An array of (encoding, length) for one text."""
+    """The length of a text under each of the ``ENCODINGS``."""
     chars, octets = F.length(text), F.octet_length(text)
-    breaks = _count(text, "(?<!\r)\n")
-    amp, angle, quote, single = _count(text, "&"), _count(text, "[<>]"), _count(text, '"'), _count(text, "'")
-    parts = {
-        "chars": chars,
-        "utf8": octets,
-        "utf8_undamaged": F.octet_length(F.regexp_replace(text, "�+$", "")),
-        "utf16": chars + _count(text, "[\\x{10000}-\\x{10ffff}]"),
-        "html": chars + 4 * amp + 3 * angle + 5 * quote + 4 * single,
-        "html_text": chars + 4 * amp + 3 * angle,
-        "html_utf8": octets + 4 * amp + 3 * angle + 5 * quote + 4 * single,
-        "json": chars + _count(text, '["\\\\\n\r\t]'),
-        "json_ascii": chars + _count(text, '["\\\\\n\r\t]') + 5 * _count(text, "[\\x{80}-\\x{ffff}]") + 11 * _count(text, "[\\x{10000}-\\x{10ffff}]"),
-        "crlf": chars + breaks,
-        "crlf_utf8": octets + breaks,
-    }
-    return F.array(*(F.struct(F.lit(k).alias("encoding"), v.cast("long").alias("length")) for k, v in parts.items()))
+    breaks = _count(text, "\n") - F.regexp_count(text, F.lit("\r\n"))
+    amp, angle, quote, single = _count(text, "&"), _count(text, "<", ">"), _count(text, '"'), _count(text, "'")
+    utf16 = F.octet_length(F.encode(text, "UTF-16LE")) / 2
+    escaped = chars + _count(text, '"', "\\", "\n", "\r", "\t")
+    wide = F.length(F.regexp_replace(text, "[\\x00-\\x7f]+", ""))
+    damaged = 3 * F.length(F.regexp_extract(F.substring(text, -3, 3), "\ufffd+$", 0))
+    parts = (chars, octets, octets - damaged, utf16, chars + 4 * amp + 3 * angle + 5 * quote + 4 * single, chars + 4 * amp + 3 * angle, octets + 4 * amp + 3 * angle + 5 * quote + 4 * single, escaped, escaped + 5 * wide + 6 * (utf16 - chars), chars + breaks, octets + breaks)
+    return F.array(*(p.cast("int") for p in parts))
 
 
 def _tail(segment: Column) -> Column:
     """The last word of a line, or its last characters in scripts without spaces."""
-    last = F.regexp_extract(segment, "(\\S+)\\s*$", 1)
+    last = F.element_at(F.split(F.rtrim(segment), "\\s+"), -1)
     return F.when(last.rlike("[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]"), F.substring(last, -5, 5)).otherwise(last)
 
 
 def inspected(documents: DataFrame) -> DataFrame:
     """``doc_id, source`` and what the text tells by itself; null and empty texts are left out. No text is kept."""
     text = F.col("text")
-    trimmed = F.regexp_replace(text, "\\s+$", "")
-    base = documents.filter(F.length(text) > 0).select("doc_id", "source", text, trimmed.alias("trimmed"))
-    base = base.withColumn("core", F.regexp_replace("trimmed", _OMISSION, "")).withColumn("lines", F.filter(F.split("core", "\n"), lambda x: F.length(F.trim(x)) > 0))
+    # Endings are looked at in the last characters of the text, lines and sentences in the whole of it.
+    last = F.substring(text, -LOOKED_AT, LOOKED_AT)
+    base = documents.filter(F.length(text) > 0).select("doc_id", "source", text, last.alias("last"), F.regexp_replace(last, "\\s+$", "").alias("trimmed"))
+    base = base.withColumn("core", F.regexp_replace("trimmed", _OMISSION, "")).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0))
     lines = F.col("lines")
     inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
     listed = (F.size(lines) >= 3) & (F.size(F.filter(inner, lambda x: x.rlike(_ENDS))) * 5 <= F.size(inner))
     spaceless = F.col("core").rlike(f"{_SPACELESS}$")
-    segments = F.when(listed, inner).when(spaceless, F.filter(F.split("core", "\\s+"), lambda x: F.length(x) > 0))
+    segments = F.when(spaceless, F.filter(F.split(text, "\\s+"), lambda x: F.length(x) > 0))
     return base.select(
         "doc_id",
         "source",
@@ -101,48 +104,55 @@ def inspected(documents: DataFrame) -> DataFrame:
         spaceless.alias("spaceless"),
         (F.col("trimmed") != F.col("core")).alias("omission"),
         F.col("trimmed").rlike("\\[(\\.\\.\\.|…)\\]$").alias("bracketed"),
-        (text.rlike("�$") | text.rlike("&#?[A-Za-z0-9]{0,8}$") | text.rlike("<[^<>]{0,200}$")).alias("broken"),
+        F.col("last").rlike("\ufffd$|&#?[A-Za-z0-9]{0,8}$|<[^<>]{0,200}$").alias("broken"),
         unfinished(F.col("trimmed")).alias("open"),
         unfinished(F.col("core")).alias("open_core"),
-        _tail(F.element_at(lines, -1)).alias("tail"),
+        _tail(F.col("core")).alias("tail"),
         F.when(listed, F.transform(inner, _tail)).when(spaceless, F.transform(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), _tail)).alias("endings"),
     )
 
 
 def limits(features: DataFrame) -> DataFrame:
-    """``source, encoding, length, n_at, n_unfinished``: the hidden limits of each source."""
+    """``source, encoding, length, n_at, n_unfinished, marked``: the hidden limits of each source.
+
+    ``marked``: whether most texts at the limit end with a mark of omission.
+    """
     judged = ~F.col("listed") & ~F.col("spaceless")
     stop = F.when(judged & (F.col("open") | F.col("broken") | (F.col("omission") & F.col("open_core"))), 1).otherwise(0)
-    each = features.select("source", F.when(judged, 1).otherwise(0).alias("judged"), stop.alias("stop"), F.explode("lengths").alias("l")).select("source", "judged", "stop", "l.*")
-    counts = each.groupBy("source", "encoding", "length").agg(F.count(F.lit(1)).alias("n_at"), F.sum("judged").alias("n_judged"), F.sum("stop").alias("n_unfinished"))
+    each = features.select("source", F.when(judged, 1).otherwise(0).alias("judged"), stop.alias("stop"), F.col("omission").cast("int").alias("omission"), F.posexplode("lengths").alias("encoding", "length"))
+    counts = each.groupBy("source", "encoding", "length").agg(F.count(F.lit(1)).alias("n_at"), F.sum("judged").alias("n_judged"), F.sum("stop").alias("n_unfinished"), F.sum("omission").alias("n_omitted"))
     near = W.partitionBy("source", "encoding").orderBy("length").rangeBetween(-AROUND, AROUND)
     around = (F.sum("n_at").over(near) - F.col("n_at")) / (2 * AROUND)
     found = counts.withColumn("around", around).filter((F.col("n_at") >= LEAST_AT_LIMIT) & (F.col("n_at") >= TIMES_AROUND * F.col("around")) & (F.col("n_judged") > 0) & (F.col("n_unfinished") >= UNFINISHED_SHARE * F.col("n_judged")) & (F.col("n_unfinished") >= LEAST_AT_LIMIT - 1))
-    return found.select("source", "encoding", "length", "n_at", "n_unfinished")
+    return found.select("source", "encoding", "length", "n_at", "n_unfinished", (F.col("n_omitted") * 2 >= F.col("n_at")).alias("marked"))
 
 
-def truncated_documents(features: DataFrame) -> DataFrame:
+def truncated_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, source, at_limit, cut``: for every document with a text, whether it was cut.
 
-    ``features`` is the result of :func:`inspected`. A null source is a source of its own; it has limits like others.
-    A text cut exactly where a sentence, line or, in a script without stops, a known last word ends counts as whole.
+    A null source is a source of its own; it has limits like others. A text cut exactly where a sentence, line or, in
+    a script without stops, a known last word ends counts as whole. An empty table gives no rows.
     """
-    source = F.coalesce("source", F.lit("\0"))
-    features = features.withColumn("source_key", source)
-    found = limits(features.withColumn("source", F.col("source_key"))).select(F.col("source").alias("source_key"), F.struct("encoding", "length").alias("l"))
+    features = checkpointed(inspected(documents).withColumn("source_key", F.coalesce("source", F.lit("\0"))))
+    found = limits(features.withColumn("source", F.col("source_key"))).select(F.col("source").alias("source_key"), F.struct("encoding", "length", "marked").alias("l"))
     # A few limits for each source.
     per_source = found.groupBy("source_key").agg(F.collect_set("l").alias("limits"))
     endings = features.select(F.explode("endings").alias("tail")).groupBy("tail").count().filter(F.col("count") >= LEAST_ENDINGS).select("tail", F.lit(True).alias("known"))
-    slack = lambda l: F.when(l["encoding"].contains("utf8"), BYTE_SLACK).otherwise(0)
-    at = F.exists("limits", lambda l: F.exists("lengths", lambda m: (m["encoding"] == l["encoding"]) & (m["length"] <= l["length"]) & (m["length"] >= l["length"] - slack(l))))
-    joined = features.drop("endings").join(per_source, "source_key", "left").withColumn("at_limit", F.coalesce(at, F.lit(False))).join(endings, "tail", "left")
-    unknown = F.col("known").isNull()
+    octets = [k for k, name in enumerate(ENCODINGS) if "utf8" in name]
+
+    def near(limit: Column) -> Column:
+        early = F.when(limit["encoding"].isin(octets), BYTE_SLACK).otherwise(0) + F.when(limit["marked"] & F.col("omission"), OMISSION_SLACK).otherwise(0)
+        return F.get("lengths", limit["encoding"]).between(limit["length"] - early, limit["length"])
+
+    joined = features.drop("endings").join(per_source, "source_key", "left").join(endings, "tail", "left")
+    joined = joined.withColumn("at_limit", F.coalesce(F.exists("limits", near), F.lit(False))).withColumn("at_mark", F.coalesce(F.exists("limits", lambda l: near(l) & l["marked"]), F.lit(False)))
+    unknown, unjudged = F.col("known").isNull(), F.col("listed") | F.col("spaceless")
     cut = (
         F.col("broken")
         | F.col("bracketed")
-        | (~F.col("listed") & ~F.col("spaceless") & F.col("open"))
-        | (F.col("at_limit") & F.col("omission") & F.when(F.col("spaceless") | F.col("listed"), unknown).otherwise(F.col("open_core")))
-        | (F.col("at_limit") & (F.col("listed") | F.col("spaceless")) & unknown)
+        | (~unjudged & F.col("open"))
+        | (F.col("at_mark") & F.col("omission") & F.when(unjudged, unknown).otherwise(F.col("open_core")))
+        | (F.col("at_limit") & unjudged & unknown)
     )
     return joined.select("doc_id", "source", "at_limit", cut.alias("cut"))
 
