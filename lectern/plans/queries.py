@@ -353,7 +353,7 @@ def longest_quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.when(F.col("chunk_id") % 4 == 0, F.upper("text")).when(F.col("chunk_id") % 4 == 1, F.concat("text", F.lit(" x"))).when(F.col("chunk_id") % 4 == 2, F.lit("")).otherwise(F.col("text"))
+    kinds = F.when(F.col("chunk_id") % 4 == 0, F.replace("text", F.lit("."), F.lit(" !"))).when(F.col("chunk_id") % 4 == 1, F.concat("text", F.lit(" x"))).when(F.col("chunk_id") % 4 == 2, F.lit("")).otherwise(F.col("text"))
     pause = F.when(F.col("chunk_id") % 3 == 0, "long").when(F.col("chunk_id") % 3 == 1, "short")
     return read(spark, sf_dir, "chunks").filter("chunk_id % 2 = 0 or chunk_id % 3 = 0").select("chunk_id", F.col("chunk_id").alias("edit_i"), kinds.alias("text"), pause.alias("pause"))
 

@@ -78,7 +78,7 @@ _BAD = "(SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id
 _LIMIT = A.db_to_lin(A.CEILING)
 _KNEE = 0.7 * _LIMIT
 _FLOOR = A.db_to_lin(A.SPEECH_FLOOR)
-_EDITS = """(SELECT chunk_id, CASE chunk_id % 4 WHEN 0 THEN upper(text) WHEN 1 THEN text || ' x' WHEN 2 THEN '' ELSE text END AS text,
+_EDITS = """(SELECT chunk_id, CASE chunk_id % 4 WHEN 0 THEN replace(text, '.', ' !') WHEN 1 THEN text || ' x' WHEN 2 THEN '' ELSE text END AS text,
         CASE chunk_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' END AS pause FROM chunks WHERE chunk_id % 2 = 0 OR chunk_id % 3 = 0)"""
 _BAKEOFF = f"(SELECT check_id, attempt, ok, cer, {_backend('lang')} AS backend, (check_id % 8) / 16.0::DOUBLE AS rtf, (check_id % 5 + 7) / 8.0::DOUBLE AS peak FROM {_HEARD})"
 
