@@ -11,8 +11,9 @@ The centroids are fitted on at most ``SAMPLE_ROWS`` rows of the labelled documen
 from __future__ import annotations
 
 import unicodedata as U
+import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ from lectern.llm.common import LANGUAGES
 from lectern.llm.normalform import tables
 
 #: Bound of the labelled sample and of the segments of each language taken from it.
-SAMPLE_ROWS, SEGMENTS_PER_LANGUAGE = 6000, 900
+SAMPLE_ROWS, SEGMENTS_PER_LANGUAGE = 4000, 900
 CLUSTERS = 2
 BUCKETS = 1 << 16
 #: A segment counts as running text from this weight on: a letter weighs one, a syllable or word sign three.
@@ -221,21 +222,48 @@ def _clustered(found: Segments, members: np.ndarray, idf: np.ndarray, clusters:
     return centroid[np.linalg.norm(centroid, axis=1) > 0.5]
 
 
+def _gathered(texts: Sequence[str], most: int) -> Segments:
+    """Segments of running text from texts in a fixed mixed order, block by block until there are ``most``."""
+    parts: list[Segments] = []
+    count = 0
+    texts = sorted(texts, key=lambda t: (zlib.crc32(t.encode("utf-8", "replace")), t))
+    for a in range(0, len(texts), 20):
+        if count >= most:
+            break
+        found = segments(texts[a : a + 20])
+        fair = found.weight >= LEAST_WEIGHT
+        number = np.where(fair, count + np.cumsum(fair) - 1, -1)
+        used = fair[found.of]
+        parts.append(Segments(found.text[fair], found.begin[fair], found.end[fair], found.weight[fair], number[found.of[used]], found.gram[used].astype(np.int32), found.times[used]))
+        count += int(fair.sum())
+    joined = [np.concatenate([getattr(p, f.name) for p in parts]) if parts else np.zeros(0, np.int64) for f in fields(Segments)]
+    return Segments(*joined)
+
+
 def fit(rows: Sequence[tuple[str, str]]) -> Model:
     """``rows``: (language, text). Languages without a row have no centroid and are never found."""
-    rows = [(code, text) for code, text in sorted(rows) if code in LANGUAGES and text]
-    texts = [(code, code, text) for code, text in rows]
+    groups: dict[str, list[str]] = {}
+    for code, text in rows:
+        if code in LANGUAGES and text:
+            groups.setdefault(code, []).append(text)
     for code in ROMANISED:
-        own = [text for c, text in rows if c == code]
-        texts += [(code, f"{code}-{way}", romanised(text, way)) for way in range(len(ROMAN)) for text in own[way :: len(ROMAN)]]
-    found = segments([t for _, _, t in texts])
-    group = np.array([g for _, g, _ in texts])[found.text] if texts else np.zeros(0, str)
-    fair = found.weight >= LEAST_WEIGHT
-    count = len(found.text)
+        for way in range(len(ROMAN)):
+            own = groups.get(code, [])[way :: len(ROMAN)]
+            if own:
+                groups[f"{code}-{way}"] = [romanised(text, way) for text in own]
+    gathered, group, base = [], [], 0
+    for name in sorted(groups):
+        part = _gathered(groups[name], SEGMENTS_PER_LANGUAGE)
+        part.of = part.of + base
+        base += len(part.text)
+        group += [name] * len(part.text)
+        gathered.append(part)
+    found = Segments(*(np.concatenate([getattr(p, f.name) for p in gathered]) if gathered else np.zeros(0, np.int64) for f in fields(Segments)))
+    group, count = np.array(group, dtype=object), base
     frequency = np.bincount(found.gram, minlength=BUCKETS)
     idf = np.log((1 + count) / (1 + frequency)).astype(np.float32)
     names = sorted(set(group.tolist()))
-    members = {g: np.flatnonzero((group == g) & fair)[: SEGMENTS_PER_LANGUAGE] for g in names}
+    members = {g: np.flatnonzero(group == g)[:SEGMENTS_PER_LANGUAGE] for g in names}
     for attempt in range(2):
         centroids, language = [], []
         for g in names:

@@ -60,19 +60,19 @@ def unfinished(text: Column) -> Column:
 ENCODINGS = ("chars", "utf8", "utf8_undamaged", "utf16", "html", "html_text", "html_utf8", "json", "json_ascii", "crlf", "crlf_utf8")
 
 
-def _count(text: Column, *chars: str) -> Column:
-    """How often the characters stand in the text."""
-    return F.length(text) - F.length(F.translate(text, "".join(chars), ""))
+def _count(text: Column, char: str) -> Column:
+    """How often a character of one byte stands in the text; the search is for bytes, much faster than a pattern."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def lengths(text: Column) -> Column:
     """The length of a text under each of the ``ENCODINGS``."""
     chars, octets = F.length(text), F.octet_length(text)
-    breaks = _count(text, "\n") - F.regexp_count(text, F.lit("\r\n"))
-    amp, angle, quote, single = _count(text, "&"), _count(text, "<", ">"), _count(text, '"'), _count(text, "'")
+    breaks = _count(text, "\n") - F.octet_length(text) + F.octet_length(F.replace(text, F.lit("\r\n"), F.lit("\n")))
+    amp, angle, quote, single = _count(text, "&"), _count(text, "<") + _count(text, ">"), _count(text, '"'), _count(text, "'")
     utf16 = F.octet_length(F.encode(text, "UTF-16LE")) / 2
-    escaped = chars + _count(text, '"', "\\", "\n", "\r", "\t")
-    wide = F.length(F.regexp_replace(text, "[\\x00-\\x7f]+", ""))
+    escaped = chars + quote + _count(text, "\\") + _count(text, "\n") + _count(text, "\r") + _count(text, "\t")
+    wide = chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7f]++", ""))
     damaged = 3 * F.length(F.regexp_extract(F.substring(text, -3, 3), "\ufffd+$", 0))
     parts = (chars, octets, octets - damaged, utf16, chars + 4 * amp + 3 * angle + 5 * quote + 4 * single, chars + 4 * amp + 3 * angle, octets + 4 * amp + 3 * angle + 5 * quote + 4 * single, escaped, escaped + 5 * wide + 6 * (utf16 - chars), chars + breaks, octets + breaks)
     return F.array(*(p.cast("int") for p in parts))
