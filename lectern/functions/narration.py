@@ -349,12 +349,13 @@ def split_to_budget(text: str, budget: int) -> list[str]:
         else:
             packed.append(sentence)
     out = []
-    for part in packed:
-        while len(part.encode()) > budget:
-            at = part.rfind(" ", 0, len(part) // 2)
-            at = at if at > 0 else len(part) // 2
-            out.append(part[:at].strip())
-            part = part[at:].strip()
-        if part:
-            out.append(part)
+    while packed:
+        part = packed.pop(0)
+        if len(part.encode()) <= budget or len(part) < 2:
+            out += [part] if part else []
+            continue
+        # Both halves are looked at again: a half may still be too long.
+        at = part.rfind(" ", 0, len(part) // 2)
+        at = at if at > 0 else len(part) // 2
+        packed[:0] = [part[:at].strip(), part[at:].strip()]
     return out

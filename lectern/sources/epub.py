@@ -72,7 +72,7 @@ def paragraphs_of(document: ET.Element, anchors: set[str]) -> tuple[list[tuple[s
 def html_paragraphs(markup: str) -> list[str]:
     """Paragraphs of one page that is well-formed XML; of others an empty list."""
     try:
-        return [t for _, t in paragraphs_of(ET.fromstring(markup), set())]
+        return [t for _, t in paragraphs_of(ET.fromstring(markup), set())[0]]
     except ET.ParseError:
         return []
 
