@@ -272,7 +272,7 @@ def fit(rows: Sequence[tuple[str, str]]) -> Model:
                 centroids.append(part)
                 language += [g.split("-")[0]] * part.shape[0]
         if not centroids:
-            return Model(np.zeros((1, BUCKETS), np.float32), [LANGUAGES[0]], idf, dict.fromkeys(LANGUAGES, 2.0))
+            return Model(np.zeros((len(LANGUAGES), BUCKETS), np.float32), list(LANGUAGES), idf, dict.fromkeys(LANGUAGES, 2.0))
         for code in LANGUAGES:
             if code not in language:
                 centroids.append(np.zeros((1, BUCKETS)))
