@@ -17,6 +17,7 @@ from lectern.functions import text as T
 from lectern.operators import reports as R
 from lectern.operators import structure as G
 from lectern.operators import verify as V
+from lectern.session import spread
 from lectern.sources import files
 from lectern.streaming import events as E
 
@@ -172,7 +173,7 @@ def abbreviations_en(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.expansion_counts(read(spark, sf_dir, "documents"), "doc_id").groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+    return G.expansion_counts(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id").groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
 # Segmentation.
@@ -187,7 +188,7 @@ def sentences_crude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.chunk_documents(read(spark, sf_dir, "documents"), "doc_id")
+    return G.chunk_documents(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id")
 
 
 @query
@@ -275,7 +276,7 @@ def word_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = heard(spark, sf_dir, ("lang",)).withColumn("lang", F.when(F.col("text").rlike("[а-я]"), "ru").otherwise("en"))
+    rows = heard(spark, sf_dir).withColumn("lang", F.when(F.col("text").rlike("[а-я]"), "ru").otherwise("en"))
     return V.verdicts(rows.select("check_id", "text", "heard", "lang")).select("check_id", "ok", F.round("cer", 6).alias("cer"), F.size("reasons").alias("n_reasons"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +35,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where its files make fewer tasks than there are cores.
+
+    Large tables have more splits than cores and stay as they are; a table in one small file would else keep costly
+    functions on one core. ``scan`` must be a plain scan with projections and filters.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
