@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 #: The languages of the corpus.
 LANGUAGES = ("ru", "en", "de", "fr", "es", "uk", "zh", "ja", "hi", "th")
 
@@ -32,7 +34,7 @@ def text_items(spark: SparkSession, sf_dir: str, kinds: Iterable[str] = ("chunk"
             part = table(spark, sf_dir, "chapters").select(F.col("chapter_id").alias("item_id"), F.lit(-1).alias("p_i"), F.col("title").alias("text"))
         else:
             raise ValueError(f"unknown kind of item: {kind}")
-        parts.append(part.select(F.lit(kind).alias("item_kind"), "item_id", "p_i", "text"))
+        parts.append(spread(part).select(F.lit(kind).alias("item_kind"), "item_id", "p_i", "text"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

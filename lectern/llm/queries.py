@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from lectern.llm import language, leakage, normalform, packing, repetition, sentences, splitting, truncation
 from lectern.llm.common import bounded_rows, table, text_items
+from lectern.session import spread
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "checks").select("check_id", "transcript", "reasons"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks that repeat themselves."""
-    return repetition.repetition(table(spark, sf_dir, "checks")).filter("not retained").select("check_id").distinct()
+    return repetition.repetition(_checks(spark, sf_dir)).filter("not retained").select("check_id").distinct()
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of repeated content of every check."""
-    found = repetition.repetition(table(spark, sf_dir, "checks"))
+    found = repetition.repetition(_checks(spark, sf_dir))
     return found.select("check_id", F.round("transcript_share", 6).alias("transcript_share"), F.round("reasons_share", 6).alias("reasons_share"), "retained").distinct()
 
 
@@ -60,7 +65,7 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(language.labelled_sample(table(spark, sf_dir, "documents")))
-    judged = language.segment_languages(table(spark, sf_dir, "chunks"), model)
+    judged = language.segment_languages(spread(table(spark, sf_dir, "chunks").select("chunk_id", "book_id", "lang", "text")), model)
     return language.with_book_label(judged, table(spark, sf_dir, "books"))
 
 
@@ -102,11 +107,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of an item stands in each document that holds it."""
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated_documents(table(spark, sf_dir, "documents"))
+    return truncation.truncated_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 LEAST_WEIGHT = 4
 #: A text is repetitive when at least this share of its letters is labelled repeated.
 REPEATED_SHARE = (1, 3)
-TRAINING_SEQUENCES = 160
-TRAINING_STEPS = 200
+TRAINING_SEQUENCES = 90
+TRAINING_STEPS = 120
 
 _SPACELESS = "฀-໿က-႟ក-៓々぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 
@@ -145,7 +145,7 @@ class Crf:
         return out[::-1]
 
 
-def fit(sequences: Sequence[tuple[np.ndarray, np.ndarray]], steps: int = TRAINING_STEPS, rate: float = 1.0, ridge: float = 1e-3) -> Crf:
+def fit(sequences: Sequence[tuple[np.ndarray, np.ndarray]], steps: int = TRAINING_STEPS, rate: float = 2.0, ridge: float = 1e-3) -> Crf:
     """Maximum conditional likelihood by gradient ascent with forward and backward sums."""
     state, transition = np.zeros((2, 4)), np.zeros((2, 2))
     count = sum(len(x) for x, _ in sequences)
