@@ -128,3 +128,18 @@ def expansion_counts(documents: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "kind", "n"])
 
     return documents.select(key, "lang", "text").mapInPandas(run, f"`{key}` {kind}, kind string, n long")
+
+
+def edit_cache(judged: DataFrame, chunks: DataFrame, group: str, order: str, keys: list[str], model: str) -> DataFrame:
+    """``group, json``: for each group the digest of its texts, its accepted edits and its rejected ones, as one record.
+
+    ``judged`` is the result of :func:`judge_edits` with the columns of ``keys``; a group without edits has a record too.
+    A cache is of use only while the digest is that of the texts.
+    """
+    digests = ordered_digest(chunks, group, order).join(chunks.groupBy(group).agg(F.count(F.lit(1)).alias("chunks")), group)
+    place = chunks.select(*keys, F.col(group).alias("_group"), F.col(order).alias("i"))
+    own = judged.select(*keys, "text", "pause", "outcome").join(place, keys).withColumnRenamed("_group", group)
+    pick = lambda outcome, *fields: F.array_sort(F.collect_list(F.when(F.col("outcome") == outcome, F.struct("i", *fields))))
+    found = own.groupBy(group).agg(pick("accepted", "text", "pause").alias("edits"), pick("rejected", "text").alias("rejected"))
+    joined = digests.join(found, group, "left")
+    return joined.select(group, F.to_json(F.struct(F.lit(model).alias("model"), "chunks", "digest", "edits", "rejected")).alias("json"))

@@ -209,6 +209,30 @@ def cover_of(books: DataFrame) -> DataFrame:
     return books.select(F.col("path").alias("book_id"), F.coalesce(named, old, image, F.lit("")).alias("cover"))
 
 
+def cover_images(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
+    """``book_id, cover, content``: the bytes of the cover of each archive; null where there is none or it is missing."""
+    covers = cover_of(read_epubs(spark, path, pattern)).filter("cover <> ''")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("book_id"), "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            images = []
+            for name, data in zip(frame["cover"], frame["content"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
+                    images.append(archive.read(name) if name in archive.namelist() else None)
+            yield frame.assign(content=images)
+
+    return archives.join(covers, "book_id").select("book_id", "cover", "content").mapInPandas(run, "book_id string, cover string, content binary")
+
+
+def book_json(books: DataFrame, made: DataFrame) -> DataFrame:
+    """``book_id, json``: each book with its chapters and the counts that follow from them."""
+    chars = F.aggregate("paragraphs", F.lit(0), lambda s, p: s + F.length(p))
+    rows = made.withColumn("char_count", chars).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "title", "nav_path", "src", "paragraphs", "char_count"))).alias("chapters"), F.sum("char_count").alias("char_count"))
+    meta = books.select(F.col("path").alias("book_id"), "title", "author", "language", "publisher", "pub_date", "identifier", "warnings")
+    return meta.join(rows, "book_id", "left").select("book_id", F.to_json(F.struct("title", "author", "language", "publisher", "pub_date", "identifier", "warnings", "char_count", "chapters")).alias("json"))
+
+
 def chapters(books: DataFrame) -> DataFrame:
     """``book_id, chapter_index, title, nav_path, src, paragraphs, warnings``: the chapters of all books.
 

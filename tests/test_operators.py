@@ -69,6 +69,14 @@ def test_edits(spark):
     assert collected(G.apply_edits(chunks, edits.filter("edit_i < 3"), ["chunk_id"])) == [(1, "Да. Он.", 700), (2, "Нет.", 350), (3, None, None)]
 
 
+def test_edit_cache(spark):
+    chunks = spark.createDataFrame([(1, "g", "Да."), (2, "g", "Нет."), (3, "h", "Да.")], "chunk_id int, chapter string, text string")
+    edits = spark.createDataFrame([(1, 1, "Да!", "long"), (2, 2, "Да.", None)], "chunk_id int, edit_i int, text string, pause string")
+    out = {r["chapter"]: json.loads(r["json"]) for r in G.edit_cache(G.judge_edits(chunks, edits, ["chunk_id"]), chunks, "chapter", "chunk_id", ["chunk_id"], "m").collect()}
+    assert out["g"]["edits"] == [{"i": 1, "text": "Да!", "pause": "long"}] and out["g"]["rejected"] == [{"i": 2, "text": "Да."}] and out["g"]["chunks"] == 2
+    assert out["h"]["chunks"] == 1 and "edits" not in out["h"]
+
+
 def test_groups_in_order(spark):
     rows = [("a", k, "слово " * 10, k % 3 == 2) for k in range(9)] + [("b", 1, "x", None)]
     df = spark.createDataFrame(rows, "g string, k int, text string, is_paragraph_end boolean")
@@ -142,6 +150,50 @@ def test_epub(spark, tmp_path):
     assert found == [(1, "One", "First text", 0), (2, "One — 2", "Two", 0), (3, "b", "long text ", 1)]
 
 
+def test_covers_and_json(spark, tmp_path):
+    book(tmp_path / "k.epub")
+    assert [(r["cover"], r["content"]) for r in epub.cover_images(spark, str(tmp_path)).collect()] == [("o/Cover.jpg", None)]
+    books = epub.read_epubs(spark, str(tmp_path))
+    out = json.loads(epub.book_json(books, epub.chapters(books)).first()["json"])
+    assert out["title"] == "T t" and [c["title"] for c in out["chapters"]] == ["One", "One — 2", "b"] and out["char_count"] == sum(c["char_count"] for c in out["chapters"])
+
+
+def test_contracts(spark):
+    from lectern.operators import contracts
+
+    def voice():
+        return lambda text, lang, seed: ([0.1 * seed, float("nan")] * len(text), 8000)
+
+    def ears():
+        return lambda audio, rate, lang: f"{len(audio)} {rate} {lang}"
+
+    chunks = spark.createDataFrame([(1, "g", "да", "ru"), (2, "g", "", "ru")], "k int, g string, text string, lang string")
+    made = contracts.synthesise(chunks, voice, retries=1)
+    assert [(r["k"], r["attempt"], r["audio"][:2]) for r in made.orderBy("k", "attempt").collect()] == [(1, 1, [0.0, 0.0]), (1, 2, [100.0, 0.0]), (2, 1, []), (2, 2, [])]
+    heard = [r["heard"] for r in contracts.transcribe(made.withColumn("sample_rate", F.lit(100)), ears).orderBy("k", "attempt").collect()]
+    assert heard == ["10240 16000 ru", "10240 16000 ru", None, None]
+    marked = contracts.mark(spark.createDataFrame([("да",), ("д+а",), (None,)], "text string"), lambda: lambda t: t + "!")
+    assert [r["marked"] for r in marked.collect()] == ["да!", "д+а", None]
+
+    def editor():
+        def run(rows):
+            if rows[0][0] == 2:
+                raise RuntimeError
+            return [(i, t.upper(), None) for i, t in rows]
+
+        return run
+
+    assert collected(contracts.edit(chunks, "g", "k", editor, size=1)) == [("g", 1, 0, "ДА", None, False), ("g", None, None, None, None, True)]
+
+
+def test_unicode(spark):
+    from lectern.functions import unicode as U
+
+    df = spark.createDataFrame([("e\u0301ß",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(U.normalized(F.col("t"))).collect()] == ["éß", "plain", None]
+    assert [r[0] for r in df.select(U.casefolded(F.col("t"))).collect()] == ["e\u0301ss", "plain", None]
+
+
 def test_epub_without_contents(spark, tmp_path):
     book(tmp_path / "k.epub", toc=False)
     found = [(r["chapter_index"], r["title"], len(r["paragraphs"])) for r in epub.chapters(epub.read_epubs(spark, str(tmp_path))).orderBy("chapter_index").collect()]
