@@ -47,13 +47,21 @@ def _ending() -> str:
     return "(?iu)(^|\\s)(" + "|".join("\\.\\s?".join(w.split(".")) for w in ENDING) + ")\\.$"
 
 
+def _last(text: Column, count: int) -> Column:
+    return F.substring(text, -count, count)
+
+
 def unfinished(text: Column) -> Column:
-    """Whether a text without outer space stops inside a word, sentence or quotation."""
-    bare = F.regexp_replace(F.reverse(text), "[“”][^“”„]*„", "")
-    opened = bare.rlike("^[^»]{0,80}«") | bare.rlike("^[^」]{0,80}「") | bare.rlike("^[^』]{0,80}『") | bare.rlike("^[^”“]{0,80}“") | bare.rlike("^[^“”]{0,80}„")
-    ended = text.rlike(_ENDS)
-    abbreviated = text.rlike(_abbreviation()) | (text.rlike(_SINGLE) & ~text.rlike(_ending()))
-    return (~ended & ~text.rlike(_PICTURE)) | opened | (ended & abbreviated)
+    """Whether a text without outer space stops inside a word, sentence or quotation.
+
+    Patterns are searched for in as many last characters as they can span: stops in 12, words in 32, quotations in 200.
+    """
+    bare = F.regexp_replace(F.reverse(_last(text, 200)), "[“”][^“”„]*„", "")
+    opened = bare.rlike("^[^»]{0,80}«|^[^」]{0,80}「|^[^』]{0,80}『|^[^”“]{0,80}“|^[^“”]{0,80}„")
+    end, word = _last(text, 12), _last(text, 32)
+    ended = end.rlike(_ENDS)
+    abbreviated = word.rlike(_abbreviation()) | (word.rlike(_SINGLE) & ~word.rlike(_ending()))
+    return (~ended & ~end.rlike(_PICTURE)) | opened | (ended & end.rlike("\\.$") & abbreviated)
 
 
 #: The encodings, in the order of the lengths.
@@ -93,7 +101,7 @@ def inspected(documents: DataFrame) -> DataFrame:
     base = base.withColumn("core", F.regexp_replace("trimmed", _OMISSION, "")).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0))
     lines = F.col("lines")
     inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    listed = (F.size(lines) >= 3) & (F.size(F.filter(inner, lambda x: x.rlike(_ENDS))) * 5 <= F.size(inner))
+    listed = (F.size(lines) >= 3) & (F.size(F.filter(inner, lambda x: _last(x, 12).rlike(_ENDS))) * 5 <= F.size(inner))
     spaceless = F.col("core").rlike(f"{_SPACELESS}$")
     segments = F.when(spaceless, F.filter(F.split(text, "\\s+"), lambda x: F.length(x) > 0))
     return base.select(
@@ -106,7 +114,7 @@ def inspected(documents: DataFrame) -> DataFrame:
         F.col("trimmed").rlike("\\[(\\.\\.\\.|…)\\]$").alias("bracketed"),
         F.col("last").rlike("\ufffd$|&#?[A-Za-z0-9]{0,8}$|<[^<>]{0,200}$").alias("broken"),
         unfinished(F.col("trimmed")).alias("open"),
-        unfinished(F.col("core")).alias("open_core"),
+        F.when(F.col("trimmed") == F.col("core"), unfinished(F.col("trimmed"))).otherwise(unfinished(F.col("core"))).alias("open_core"),
         _tail(F.col("core")).alias("tail"),
         F.when(listed, F.transform(inner, _tail)).when(spaceless, F.transform(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), _tail)).alias("endings"),
     )
