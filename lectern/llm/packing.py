@@ -22,6 +22,8 @@ CLASSES = 192
 WINDOW = 0.985
 #: Combinations kept for each leading class.
 COMBINATIONS = 10
+#: Largest capacity: the lengths that the driver gathers and sends to the tasks are no more than this.
+MOST_LENGTHS = 1 << 20
 #: Items that one salt of the ranking takes, roughly.
 ROWS_PER_SALT = 500_000
 
@@ -151,6 +153,8 @@ def pack(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
     spark = sized.sparkSession
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
+    if max(capacities.values()) > MOST_LENGTHS:
+        raise ValueError(f"capacities above {MOST_LENGTHS} need a coarser unit")
     sized = sized.select("doc_id", F.col("tokens").cast("long").alias("tokens")).filter("tokens > 0")
     packs = F.array(*(F.struct(F.lit(k).alias("pack_name"), F.lit(v).cast("long").alias("capacity")) for k, v in capacities.items()))
     by_pack = sized.select("doc_id", "tokens", F.explode(packs).alias("p")).select("doc_id", "tokens", "p.*")
