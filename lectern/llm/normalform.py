@@ -147,7 +147,7 @@ def _expanded(text: str) -> str:
     return "".join(out)
 
 
-_SPACES = re.compile(r"[ ]{2,}|[ ]*\n[ ]*")
+_SPACES = re.compile(r"[ ]*\n[ ]*|[ ]{2,}")
 
 
 def _squeezed(text: str) -> str:
