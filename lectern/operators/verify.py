@@ -47,6 +47,39 @@ def missing_words(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("missing", lost)
 
 
+def _said(heard: pd.Series) -> list[str | None]:
+    return [None if h is None or h != h else h for h in heard]
+
+
+def cer(pairs: DataFrame) -> DataFrame:
+    """Adds ``cer`` to ``text, heard, lang``, of any script: :func:`compare.cer`, with the distance as a built-in expression.
+
+    Null text counts as empty; a null transcript has no error rate.
+    """
+
+    @F.pandas_udf("reference string, said string")
+    def canonical(texts: pd.Series, heard: pd.Series, langs: pd.Series) -> pd.DataFrame:
+        found = [(compare.canon(t, lang or ""), None if h is None else compare.canon(h, lang or "")) for t, h, lang in zip(_said(texts), _said(heard), langs)]
+        return pd.DataFrame(found, columns=["reference", "said"])
+
+    both = pairs.withColumn("_canon", canonical("text", "heard", "lang"))
+    return both.withColumn("cer", F.when(F.col("heard").isNotNull(), compare.cer_column(F.col("_canon.reference"), F.col("_canon.said")))).drop("_canon")
+
+
+def lost_words(pairs: DataFrame) -> DataFrame:
+    """Adds ``numbers, words`` to ``text, heard, lang``, of any script: the two lists of :func:`compare.missing_words`.
+
+    Null text counts as empty; a null transcript has no lists.
+    """
+
+    @F.pandas_udf("numbers array<string>, words array<string>")
+    def lost(texts: pd.Series, heard: pd.Series, langs: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if h is None else compare.missing_words(t or "", h, lang or "") for t, h, lang in zip(_said(texts), _said(heard), langs)]
+        return pd.DataFrame(found, columns=["numbers", "words"])
+
+    return pairs.withColumn("_lost", lost("text", "heard", "lang")).withColumn("numbers", F.col("_lost.numbers")).withColumn("words", F.col("_lost.words")).drop("_lost")
+
+
 def classify_attempts(attempts: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, n, outcome`` of ``key, ok, cer``: ok; text that no transcript fits, where no attempt is ok but at least
     two error rates are nearly equal; or failure. Null ``ok`` counts as not ok; partial aggregation needs no sort."""

@@ -53,6 +53,11 @@ def ascii_heard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heard(spark, sf_dir).filter(F.col("text").rlike("^[ -~]+$") & F.col("heard").rlike("^[ -~]+$"))
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`heard` with the language whose rules apply."""
+    return heard(spark, sf_dir).withColumn("lang", F.when(F.col("text").rlike("[а-я]"), "ru").otherwise("en"))
+
+
 def vectors(spark: SparkSession, sf_dir: str, bad: bool = False) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("audio"))
     if not bad:
@@ -267,6 +272,16 @@ def missing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.missing_words(ascii_heard(spark, sf_dir)).select("check_id", F.array_join("missing", " ").alias("missing"))
 
 
+@query
+def cer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.cer(spoken(spark, sf_dir).drop("cer")).select("check_id", F.round("cer", 6).alias("cer"))
+
+
+@query
+def missing_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lost_words(spoken(spark, sf_dir)).select("check_id", F.array_join("numbers", " ").alias("numbers"), F.array_join("words", " ").alias("words"))
+
+
 @query
 def word_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda c: F.size(F.filter(F.split(C.canon_simple(F.coalesce(c, F.lit(""))), " "), lambda w: w != ""))
@@ -276,8 +291,7 @@ def word_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = heard(spark, sf_dir).withColumn("lang", F.when(F.col("text").rlike("[а-я]"), "ru").otherwise("en"))
-    return V.verdicts(rows.select("check_id", "text", "heard", "lang")).select("check_id", "ok", F.round("cer", 6).alias("cer"), F.size("reasons").alias("n_reasons"))
+    return V.verdicts(spoken(spark, sf_dir).select("check_id", "text", "heard", "lang")).select("check_id", "ok", F.round("cer", 6).alias("cer"), F.size("reasons").alias("n_reasons"))
 
 
 @query

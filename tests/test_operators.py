@@ -27,6 +27,24 @@ def test_verdicts(spark):
     assert V.verdicts(df.limit(0)).count() == 0
 
 
+def test_error_rates_of_any_script(spark, tmp_path):
+    from lectern.functions import compare
+    from lectern.plans.queries import QUERIES
+
+    pairs = [
+        ("Он пришёл в 5 часов.", "он пришел в пять часов", "ru"), ("Старый лоцман хвалил ящик", "старый лоцман хвалил", "ru"), ("Café — “très” bon", "cafe tres bon", "en"), ("老船长称赞箱子。", "老船长称赞", "en"),
+        ("古い船乗り、箱。", "古い船乗り箱", "en"), ("पुराना नाविक", "पुराना", "en"), ("คนเรือเก่า", "คนเรือ", "en"), ("The U.S.A. grey cat", "usa gray cat", "en"), ("", "noise", "en"), (None, None, "en"), ("Two men", "", "en"), ("Наш кот", None, "ru"),
+    ]
+    spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(pairs)], "chunk_id long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = [(k, k, 1, True, 0.5, h, 1) for k, (_, h, _) in enumerate(pairs)]
+    spark.createDataFrame(rows, "check_id long, chunk_id long, attempt int, ok boolean, cer double, transcript string, loaded_at long").write.parquet(f"{tmp_path}/checks.parquet")
+    rates = {r["check_id"]: r["cer"] for r in QUERIES["cer_all"](spark, str(tmp_path)).collect()}
+    assert rates == {k: None if h is None else round(compare.cer(t, h, lang), 6) for k, (t, h, lang) in enumerate(pairs)}
+    lost = {r["check_id"]: (r["numbers"], r["words"]) for r in QUERIES["missing_words_all"](spark, str(tmp_path)).collect()}
+    assert lost == {k: (None, None) if h is None else tuple(" ".join(x) for x in compare.missing_words(t or "", h, lang)) for k, (t, h, lang) in enumerate(pairs)}
+    assert lost[1] == ("", "ящик") and lost[10] == ("two", "men")
+
+
 def test_attempts(spark):
     rows = [(1, 1, False, 0.5), (1, 2, True, 0.1), (2, 1, False, 0.30), (2, 2, False, 0.33), (3, 1, False, None), (3, 2, None, 0.4), (4, 1, False, 0.2), (4, 2, False, 0.9), (1, 2, True, 0.1)]
     df = spark.createDataFrame(rows, "chunk_id int, attempt int, ok boolean, cer double")
