@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import arrays as A
@@ -254,14 +254,23 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(C.stem_column(F.col("word")).alias("stem")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("forms"))
 
 
-@query
-def close_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split(C.canon_simple(F.col("text")), " "), lambda w: w.rlike("^[a-z]+$"))
-    rows = read(spark, sf_dir, "chunks").select(words.alias("w"))
+def neighbours(spark: SparkSession, sf_dir: str, wanted: Callable[[Column], Column]) -> DataFrame:
+    """Pairs of words that follow each other among the ``wanted`` ones of a chunk, and whether they are close."""
+    rows = read(spark, sf_dir, "chunks").select(F.filter(F.split(C.canon_simple(F.col("text")), " "), wanted).alias("w"))
     pairs = rows.select(F.explode(F.zip_with("w", F.slice("w", 2, 1 << 20), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("p.*").filter("a is not null and b is not null").distinct()
     return pairs.select("a", "b", C.close_column(F.col("a"), F.col("b")).alias("close"))
 
 
+@query
+def close_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(spark, sf_dir, lambda w: w.rlike("^[a-z]+$"))
+
+
+@query
+def close_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(spark, sf_dir, lambda w: w != "")
+
+
 @query
 def cer_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cer_ascii(ascii_heard(spark, sf_dir).drop("cer")).select("check_id", F.round("cer", 6).alias("cer"))

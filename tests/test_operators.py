@@ -45,6 +45,19 @@ def test_error_rates_of_any_script(spark, tmp_path):
     assert lost[1] == ("", "ящик") and lost[10] == ("two", "men")
 
 
+def test_close_words_of_any_script(spark, tmp_path):
+    from lectern.functions import compare
+    from lectern.plans.queries import QUERIES
+
+    texts = ["Лоцман лоцмана 12 похвалил, красная красной.", "the café — cafe’s 2nd walk walking", "老船长 老船長", "पुराना पुराने", "คนเรือเก่า คนเรือ", "", None, "один"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    canonical = [r[0] for r in spark.read.parquet(f"{tmp_path}/chunks.parquet").select(compare.canon_simple(F.col("text"))).collect()]
+    words = [[w for w in (t or "").split(" ") if w] for t in canonical]
+    wanted = {(a, b, compare.close(a, b)) for w in words for a, b in zip(w, w[1:])}
+    found = collected(QUERIES["close_words_all"](spark, str(tmp_path)))
+    assert found == sorted(wanted, key=repr) and {("лоцман", "лоцмана", True), ("12", "похвалил", False), ("the", "café", False)} <= wanted
+
+
 def test_attempts(spark):
     rows = [(1, 1, False, 0.5), (1, 2, True, 0.1), (2, 1, False, 0.30), (2, 2, False, 0.33), (3, 1, False, None), (3, 2, None, 0.4), (4, 1, False, 0.2), (4, 2, False, 0.9), (1, 2, True, 0.1)]
     df = spark.createDataFrame(rows, "chunk_id int, attempt int, ok boolean, cer double")
