@@ -4,8 +4,9 @@ Lengths of every text are computed again under other encodings: characters, UTF-
 JSON escaping, newlines of two characters, with and without a mark of omission at the end. Grouped by source and
 encoding they show the hidden limits: lengths at which far more texts stop than around them, most of them unfinished.
 Then the endings are inspected: a word, sentence, quotation, entity or tag that stops in the middle. Texts without
-final stops (lists, verse, scripts without stops) are judged at a limit only, by whether their last words stand
-elsewhere at the end of a line or sentence. Everything is built from built-in expressions.
+final stops (lists, verse, scripts without stops) are judged by their last words: at a limit by whether these stand
+elsewhere at the end of a line or sentence; anywhere by whether they are the beginning of known words, or stand in the
+corpus often but hardly ever at an end. Everything is built from built-in expressions.
 """
 
 from __future__ import annotations
@@ -29,12 +30,22 @@ LOOKED_AT = 400
 #: How often words must stand at the end of other lines or sentences to be an ending.
 LEAST_ENDINGS = 2
 
+#: A last word hardly ever ends anything: it stands elsewhere at least so often, and at most this share of that at ends.
+#: Words of lists stand in prose too, far from ends; for them the share is less.
+LEAST_STANDING, HARDLY, HARDLY_LISTED = 40, 0.01, 0.001
+#: A last word is the beginning of others: so many occurrences at least, and at most ``HARDLY_LISTED`` of that by itself.
+LEAST_LONGER = 5
+
 STOP = "[.!?…。！？।॥؟．｡]"
 _CLOSE = "[\"'”’»)\\]」』）“]*"
 _ENDS = f"{STOP}\\s?{_CLOSE}$"
 _PICTURE = "[\\p{So}\\p{Sk}\\x{fe0f}\\x{200d}\\x{2665}]$"
 _OMISSION = "(\\s*(\\[(\\.\\.\\.|…)\\]|\\.\\.\\.|…))$"
 _SPACELESS = "[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}]"
+_LETTER = "\\p{L}\\p{M}\\p{N}"
+_UNSPACED = "[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]"
+#: A sentence that ends within a line: a letter, stop and closing marks, then another letter.
+_WITHIN = f"[\\p{{L}}\\p{{M}}]{STOP}{_CLOSE}(?=[^{_LETTER}\\n]{{0,4}}(<[^<>\\n]{{1,200}}>[^{_LETTER}\\n]{{0,4}})*\\p{{L}})"
 _SINGLE = "(^|[\\s(«“„\".])\\p{L}\\.$"
 
 
@@ -89,7 +100,13 @@ def lengths(text: Column) -> Column:
 def _tail(segment: Column) -> Column:
     """The last word of a line, or its last characters in scripts without spaces."""
     last = F.element_at(F.split(F.rtrim(segment), "\\s+"), -1)
-    return F.when(last.rlike("[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]"), F.substring(last, -5, 5)).otherwise(last)
+    return F.when(last.rlike(_UNSPACED), F.substring(last, -5, 5)).otherwise(last)
+
+
+def _unit(text: Column) -> Column:
+    """The last word in lower case without what follows it, or its last characters in scripts without spaces."""
+    last = F.lower(F.regexp_extract(text, f"([{_LETTER}]++)[^{_LETTER}]*+$", 1))
+    return F.when(last.rlike(f"{_UNSPACED}$"), F.substring(last, -5, 5)).otherwise(last)
 
 
 def inspected(documents: DataFrame) -> DataFrame:
@@ -101,7 +118,10 @@ def inspected(documents: DataFrame) -> DataFrame:
     base = base.withColumn("core", F.regexp_replace("trimmed", _OMISSION, "")).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0))
     lines = F.col("lines")
     inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    listed = (F.size(lines) >= 3) & (F.size(F.filter(inner, lambda x: _last(x, 12).rlike(_ENDS))) * 5 <= F.size(inner))
+    ends = lambda x: _last(F.regexp_replace(_last(x, 60), "(\\s*</?[A-Za-z][^<>]{0,20}>)+\\s*$", ""), 12).rlike(_ENDS)
+    few = (F.size(lines) >= 3) & (F.size(F.filter(inner, ends)) * 5 <= F.size(inner))
+    # Prose with hard line breaks has its sentences end within the lines.
+    listed = F.when(few, F.regexp_count(text, F.lit(_WITHIN)) * 5 <= F.size(lines)).otherwise(False)
     spaceless = F.col("core").rlike(f"{_SPACELESS}$")
     segments = F.when(spaceless, F.filter(F.split(text, "\\s+"), lambda x: F.length(x) > 0))
     return base.select(
@@ -116,6 +136,8 @@ def inspected(documents: DataFrame) -> DataFrame:
         unfinished(F.col("trimmed")).alias("open"),
         F.when(F.col("trimmed") == F.col("core"), unfinished(F.col("trimmed"))).otherwise(unfinished(F.col("core"))).alias("open_core"),
         _tail(F.col("core")).alias("tail"),
+        _unit(F.col("core")).alias("unit"),
+        F.col("core").rlike(f"[{_LETTER}]$").alias("lettered"),
         F.when(listed, F.transform(inner, _tail)).when(spaceless, F.transform(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), _tail)).alias("endings"),
     )
 
@@ -135,11 +157,38 @@ def limits(features: DataFrame) -> DataFrame:
     return found.select("source", "encoding", "length", "n_at", "n_unfinished", (F.col("n_omitted") * 2 >= F.col("n_at")).alias("marked"))
 
 
+def standing(documents: DataFrame, features: DataFrame) -> DataFrame:
+    """``unit, at_end, inside, longer``: where the last words of the unjudged texts stand in all documents.
+
+    ``longer`` counts the words that begin with the unit. Words are counted first; only what differs is taken apart.
+    """
+    finals = features.filter((F.col("listed") | F.col("spaceless")) & (F.col("unit") != "")).groupBy("unit").agg(F.count(F.lit(1)).alias("finals"))
+    tokens = documents.filter(F.length("text") > 0).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[{_LETTER}]++{STOP}?"), F.lit(0))).alias("token")).groupBy("token").count()
+    word, size = F.col("word"), F.length("word")
+    words = tokens.select(F.regexp_replace("token", f"{STOP}$", "").alias("word"), F.col("token").rlike(f"{STOP}$").alias("stopped"), F.col("count").alias("n"))
+    none = F.lit(0).cast("long")
+
+    def place(unit: Column, at_end: Column, longer: Column) -> Column:
+        return F.struct(unit.alias("unit"), F.when(at_end, F.col("n")).otherwise(none).alias("at_end"), F.when(~at_end & ~longer, F.col("n")).otherwise(none).alias("inside"), F.when(longer, F.col("n")).otherwise(none).alias("longer"))
+
+    ended = F.col("stopped") | word.rlike(f"{_SPACELESS}$")
+    whole = F.array(place(word, ended, F.lit(False)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 4, F.lit(1))), lambda k: place(F.substring(word, k, F.lit(5)), ended & (k >= size - 4), F.lit(False)))
+    begins = F.transform(F.sequence(F.lit(2), F.greatest(F.least(size - 1, F.lit(40)), F.lit(2))), lambda k: place(F.substring(word, F.lit(1), k), F.lit(False), F.lit(True)))
+    places = words.select(F.explode(F.when(word.rlike(f"{_UNSPACED}$"), grams).when(size > 2, F.concat(whole, begins)).otherwise(whole)).alias("p")).select("p.*")
+    line_ends = features.filter(~F.col("spaceless")).select(F.explode("endings").alias("tail")).select(_unit(F.col("tail")).alias("unit"), F.lit(1).cast("long").alias("at_end"), none.alias("inside"), none.alias("longer"))
+    sums = [F.sum(c).alias(c) for c in ("at_end", "inside", "longer")]
+    found = places.unionByName(line_ends).join(finals.select("unit"), "unit", "left_semi").groupBy("unit").agg(*sums)
+    # The last words of the texts themselves are no evidence for themselves.
+    return found.join(finals, "unit").select("unit", F.when(F.col("unit").rlike(f"{_SPACELESS}$"), F.greatest(F.col("at_end") - F.col("finals"), none)).otherwise(F.col("at_end")).alias("at_end"), (F.col("inside") - F.col("finals")).alias("inside"), "longer")
+
+
 def truncated_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, source, at_limit, cut``: for every document with a text, whether it was cut.
 
     A null source is a source of its own; it has limits like others. A text cut exactly where a sentence, line or, in
-    a script without stops, a known last word ends counts as whole. An empty table gives no rows.
+    a script without stops, a known last word ends counts as whole. Off limits, a list or a text without stops is
+    cut where its last word is the beginning of others or hardly ever ends anything. An empty table gives no rows.
     """
     features = checkpointed(inspected(documents).withColumn("source_key", F.coalesce("source", F.lit("\0"))))
     found = limits(features.withColumn("source", F.col("source_key"))).select(F.col("source").alias("source_key"), F.struct("encoding", "length", "marked").alias("l"))
@@ -152,7 +201,10 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
         early = F.when(limit["encoding"].isin(octets), BYTE_SLACK).otherwise(0) + F.when(limit["marked"] & F.col("omission"), OMISSION_SLACK).otherwise(0)
         return F.get("lengths", limit["encoding"]).between(limit["length"] - early, limit["length"])
 
-    joined = features.drop("endings").join(per_source, "source_key", "left").join(endings, "tail", "left")
+    stands = standing(documents, features).withColumn("rare", F.coalesce((F.col("inside") >= LEAST_STANDING) & (F.col("at_end") <= F.when(F.col("unit").rlike(f"{_SPACELESS}$"), HARDLY).otherwise(HARDLY_LISTED) * F.col("inside")), F.lit(False)))
+    begun = (F.col("longer") >= LEAST_LONGER) & (F.greatest(F.col("inside"), F.lit(0)) + F.col("at_end") <= HARDLY_LISTED * F.col("longer")) & ~F.col("unit").rlike(f"{_UNSPACED}$")
+    stands = stands.select("unit", "rare", begun.alias("begun"))
+    joined = features.drop("endings").join(per_source, "source_key", "left").join(endings, "tail", "left").join(stands, "unit", "left")
     joined = joined.withColumn("at_limit", F.coalesce(F.exists("limits", near), F.lit(False))).withColumn("at_mark", F.coalesce(F.exists("limits", lambda l: near(l) & l["marked"]), F.lit(False)))
     unknown, unjudged = F.col("known").isNull(), F.col("listed") | F.col("spaceless")
     cut = (
@@ -161,6 +213,7 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
         | (~unjudged & F.col("open"))
         | (F.col("at_mark") & F.col("omission") & F.when(unjudged, unknown).otherwise(F.col("open_core")))
         | (F.col("at_limit") & unjudged & unknown)
+        | (unjudged & F.col("lettered") & F.coalesce(F.col("rare") | F.col("begun"), F.lit(False)))
     )
     return joined.select("doc_id", "source", "at_limit", cut.alias("cut"))
 

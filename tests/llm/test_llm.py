@@ -331,6 +331,22 @@ def test_limits_and_cuts(spark):
     assert truncation.truncated_documents(df.limit(0)).count() == 0
 
 
+def test_wrapped_prose_is_judged(spark):
+    prose = "Старый лоцман громко хвалил ящик. Ученик часовщика\nдолго искал список пассажиров. Потом он ушёл домой и\nдолго молчал. Рыжий паромщик вернулся в тёплую"
+    tagged = "<p>Он ушёл. Она ждала.</p>\n<p>Он пришёл. Она ушла.</p>\n<p>Он ждал. Она приш"
+    rows = [(1, prose, "a"), (2, tagged, "b"), (3, prose + " кухню.", "a"), (4, "Соль и дёготь\nТретий паром\nПустой перрон", "a")]
+    out = {r["doc_id"]: r["cut"] for r in truncation.truncated_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_lists_and_thai_cut_off_limits(spark):
+    song, thai = "Старый лоцман\nРыжий паромщик\nПустой перрон", "คนเฝ้าประภาคารพบกล่องกระดุมใกล้โรงสี"
+    rows = [(k, f"{song}\nОстров {k % 7}{'аб'[k % 2]}", None) for k in range(20)] + [(100 + k, " ".join([thai] * (1 + k % 5)), None) for k in range(40)]
+    rows += [(200, "Рыжий паромщик\nПустой перрон\nСтарый лоц", "x"), (201, f"{thai} {thai[:-10]}", "x"), (202, "Рыжий паромщик\nПустой перрон\nОстров Мулока", "x")]
+    out = {r["doc_id"] for r in truncation.truncated_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("cut").collect()}
+    assert out == {200, 201}
+
+
 # Queries.
 
 
