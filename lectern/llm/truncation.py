@@ -27,7 +27,7 @@ BYTE_SLACK = 3
 OMISSION_SLACK = 3
 #: Characters of the end that are inspected.
 LOOKED_AT = 400
-#: How often words must stand at the end of other lines or sentences to be an ending.
+#: How often words must stand at the end of other lines or sentences to be an ending, unless they hardly ever do.
 LEAST_ENDINGS = 2
 
 #: A last word hardly ever ends anything: it stands elsewhere at least so often, and at most this share of that at ends.
@@ -206,7 +206,7 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
     stands = stands.select("unit", "rare", begun.alias("begun"))
     joined = features.drop("endings").join(per_source, "source_key", "left").join(endings, "tail", "left").join(stands, "unit", "left")
     joined = joined.withColumn("at_limit", F.coalesce(F.exists("limits", near), F.lit(False))).withColumn("at_mark", F.coalesce(F.exists("limits", lambda l: near(l) & l["marked"]), F.lit(False)))
-    unknown, unjudged = F.col("known").isNull(), F.col("listed") | F.col("spaceless")
+    unknown, unjudged = F.col("known").isNull() | F.coalesce("rare", F.lit(False)), F.col("listed") | F.col("spaceless")
     cut = (
         F.col("broken")
         | F.col("bracketed")

@@ -347,6 +347,20 @@ def test_lists_and_thai_cut_off_limits(spark):
     assert out == {200, 201}
 
 
+def test_endings_are_relative(spark):
+    songs = ["Соль и дёготь", "Третий паром", "Пустой перрон", "Зимний причал"]
+    rows = [(k, "\n".join(songs[(k + j) % 4] for j in range(3 + k % 40)), "w") for k in range(60)]
+    rows += [(100 + k, f"Он ушёл в дом. Она была в лесу. {'Мы ждали в саду. ' * 40}", "w") for k in range(60)]
+    rows += [(200 + k, "Третий паром\nЖизнь в\nПустой перрон", "w") for k in range(2)]
+    prose = "Старый лоцман громко хвалил ящик с картами. " * 9
+    rows += [(300 + k, prose[k * 3 :][:200], "cut") for k in range(12)]
+    end = "\nТретий паром\nМастер ждал в"
+    rows += [(400, ("Пустой перрон\n" * 20)[: 200 - len(end)] + end, "cut")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in truncation.truncated_documents(documents).collect()}
+    assert out[400]["at_limit"] and out[400]["cut"] and not any(out[k]["cut"] for k in (*range(60), 200, 201))
+
+
 # Queries.
 
 
