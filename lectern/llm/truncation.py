@@ -62,12 +62,17 @@ def _last(text: Column, count: int) -> Column:
     return F.substring(text, -count, count)
 
 
-def unfinished(text: Column) -> Column:
+def unfinished(text: Column, before: Column | None = None) -> Column:
     """Whether a text without outer space stops inside a word, sentence or quotation.
 
     Patterns are searched for in as many last characters as they can span: stops in 12, words in 32, quotations in 200.
+    Whether „ stands open where those begin is seen in ``before``, all that comes earlier, if ``text`` is not the whole.
     """
-    bare = F.regexp_replace(F.reverse(_last(text, 200)), "[“”][^“”„]*„", "")
+    before = F.substring(text, F.lit(1), F.greatest(F.length(text) - 200, F.lit(0))) if before is None else before
+    window = F.reverse(_last(text, 200))
+    inside = window.rlike("[“”]") & F.contains(before, F.lit("„")) & F.reverse(before).rlike("^[^“”„]*+„")
+    window = F.when(inside, F.regexp_replace(window, "[“”]([^“”„]*)$", "$1")).otherwise(window)
+    bare = F.regexp_replace(window, "[“”][^“”„]*„", "")
     opened = bare.rlike("^[^»]{0,80}«|^[^」]{0,80}「|^[^』]{0,80}『|^[^”“]{0,80}“|^[^“”]{0,80}„")
     end, word = _last(text, 12), _last(text, 32)
     ended = end.rlike(_ENDS)
@@ -117,6 +122,8 @@ def inspected(documents: DataFrame) -> DataFrame:
     base = documents.filter(F.length(text) > 0).select("doc_id", "source", text, last.alias("last"), F.regexp_replace(last, "\\s+$", "").alias("trimmed"))
     base = base.withColumn("core", F.regexp_replace("trimmed", _OMISSION, "")).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0))
     lines = F.col("lines")
+    # What comes before the last 200 characters of the text without its end.
+    before = lambda end: F.substring(text, F.lit(1), F.greatest(F.length(text) - F.length("last") + F.length(end) - 200, F.lit(0)))
     inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
     ends = lambda x: _last(F.regexp_replace(_last(x, 60), "(\\s*</?[A-Za-z][^<>]{0,20}>)+\\s*$", ""), 12).rlike(_ENDS)
     few = (F.size(lines) >= 3) & (F.size(F.filter(inner, ends)) * 5 <= F.size(inner))
@@ -133,8 +140,8 @@ def inspected(documents: DataFrame) -> DataFrame:
         (F.col("trimmed") != F.col("core")).alias("omission"),
         F.col("trimmed").rlike("\\[(\\.\\.\\.|…)\\]$").alias("bracketed"),
         F.col("last").rlike("\ufffd$|&#?[A-Za-z0-9]{0,8}$|<[^<>]{0,200}$").alias("broken"),
-        unfinished(F.col("trimmed")).alias("open"),
-        F.when(F.col("trimmed") == F.col("core"), unfinished(F.col("trimmed"))).otherwise(unfinished(F.col("core"))).alias("open_core"),
+        unfinished(F.col("trimmed"), before("trimmed")).alias("open"),
+        F.when(F.col("trimmed") == F.col("core"), unfinished(F.col("trimmed"), before("trimmed"))).otherwise(unfinished(F.col("core"), before("core"))).alias("open_core"),
         _tail(F.col("core")).alias("tail"),
         _unit(F.col("core")).alias("unit"),
         F.col("core").rlike(f"[{_LETTER}]$").alias("lettered"),

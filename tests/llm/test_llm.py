@@ -313,6 +313,15 @@ def test_unfinished(spark, text, open_):
     assert spark.createDataFrame([(text,)], "t string").select(truncation.unfinished(F.col("t"))).first()[0] is open_
 
 
+def test_long_quotations(spark):
+    long = "a b c d " * 40
+    rows = [(1, f"„{long}“, sagte er."), (2, f"„Ja.“ {long}“, sagte er."), (3, f"{'Er kam. ' * 60}„{long}“, sagte er. „Ja.“"), (4, f"„{long}“, sagte er: „Nein.")]
+    df = spark.createDataFrame([(k, t, None) for k, t in rows], "doc_id long, text string, source string")
+    wanted = {1: False, 2: True, 3: False, 4: True}
+    assert {r[0]: r[1] for r in df.select("doc_id", truncation.unfinished(F.col("text"))).collect()} == wanted
+    assert {r["doc_id"]: r["open"] for r in truncation.inspected(df).collect()} == wanted
+
+
 def test_limits_and_cuts(spark):
     full = "Старый лоцман громко хвалил ящик с картами. " * 9
     rows = [(k, full[k % 9 :][: 40 + 7 * (k % 23)].rsplit(".", 1)[0] + ".", "whole") for k in range(80)]
