@@ -351,6 +351,20 @@ def segment_languages(chunks: DataFrame, model: Model) -> DataFrame:
     return prepared.mapInArrow(run, _SCHEMA)
 
 
+def chunk_languages(chunks: DataFrame, judged: DataFrame) -> DataFrame:
+    """``chunk_id, lang, confidence``: one row for each chunk, from the cosines of its segments summed by weight.
+
+    Rejected segments do not count. Chunks without text and those of which every segment is rejected have a null
+    language and confidence 0.
+    """
+    weight = F.greatest(F.col("weight"), F.lit(1))
+    sums = judged.filter("lang is not null").groupBy("chunk_id").agg(F.array(*(F.sum(weight * F.col("cosines")[k].cast("double")) for k in range(len(LANGUAGES)))).alias("sums"))
+    best, second = F.array_max("sums"), F.sort_array("sums", asc=False)[1]
+    lang = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position("sums", best).cast("int"))
+    found = sums.select("chunk_id", lang.alias("lang"), (best / F.greatest(best + second, F.lit(1e-9))).alias("confidence"))
+    return chunks.select("chunk_id").join(found, "chunk_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
 def with_book_label(judged: DataFrame, books: DataFrame) -> DataFrame:
     """Fills missing labels with the language of the book, where that names one."""
     of_books = books.select("book_id", label_code(F.col("language")).alias("book_label")).filter("book_label is not null").dropDuplicates(["book_id"])

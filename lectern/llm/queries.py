@@ -79,6 +79,12 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("chunk_id", "seg_i", "seg_start", "seg_end", "lang", F.round("confidence", 4).alias("confidence"), "label")
 
 
+def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every chunk."""
+    found = language.chunk_languages(table(spark, sf_dir, "chunks"), _judged(spark, sf_dir))
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
     rows = bounded_rows(table(spark, sf_dir, "pack_sizes").filter("capacity is not null"), 1000, "pack_sizes")
     capacities = {r["pack_name"]: r["capacity"] for r in rows}
@@ -126,5 +132,5 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p4_sentences, p5_found, p5_segments, p6_found, p6_containers, p6_fill, p7_found, p7_cover, p8_found, p8_sources)
+    for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p4_sentences, p5_found, p5_segments, p5_chunks, p6_found, p6_containers, p6_fill, p7_found, p7_cover, p8_found, p8_sources)
 }

@@ -205,6 +205,16 @@ def test_languages_of_segments(spark, model):
     assert language.segment_languages(chunks.limit(0), model).count() == 0
 
 
+def test_languages_of_chunks(spark, model):
+    ru, en = "Старый лоцман громко хвалил ящик с картами в дальней кладовой.", "The old pilot twice counted the brass lantern in the warm kitchen."
+    rows = [(1, 1, ru, "ru"), (2, 1, f"{ru} {ru} {en}", None), (3, 2, en, "ru"), (4, 1, None, "ru"), (5, 9, "", "en"), (6, 1, "12 — 34!", "en")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, book_id long, text string, lang string")
+    judged = language.segment_languages(chunks, model)
+    out = {r["chunk_id"]: (r["lang"], r["confidence"]) for r in language.chunk_languages(chunks, judged).collect()}
+    assert {k: v[0] for k, v in out.items()} == {1: "ru", 2: "ru", 3: "en", 4: None, 5: None, 6: None}
+    assert out[4][1] == out[5][1] == out[6][1] == 0 and 0.5 < out[2][1] < out[1][1] <= 1
+
+
 def test_fit_without_rows():
     found, codes, _, _ = language.judge(language.fit([]), ["Some text that no language is known for."])
     assert codes == [None] and language.segments([]).text.size == 0 and language.segments(["", "12"]).gram.size >= 0
