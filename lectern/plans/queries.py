@@ -176,6 +176,14 @@ def abbreviations_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     return english.select("doc_id", T.expand_abbreviations(F.col("text"), N.ABBREVIATIONS["en"], False).alias("text"))
 
 
+@query
+def abbreviations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang, text = F.lower("lang"), F.col("text")
+    rows = read(spark, sf_dir, "documents").filter(lang.isin("en", "ru") & text.isNotNull())
+    full = F.when(lang == "ru", T.expand_abbreviations(text, N.ABBREVIATIONS["ru"], True)).otherwise(T.expand_abbreviations(text, N.ABBREVIATIONS["en"], False))
+    return rows.select("doc_id", lang.alias("lang"), full.alias("text"))
+
+
 @query
 def expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.expansion_counts(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id").groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
@@ -376,10 +384,11 @@ def longest_quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Edits, tags, keys.
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Made-up edits: of two thirds of the chunks, as the SQL has them, or of every one."""
     kinds = F.when(F.col("chunk_id") % 4 == 0, F.replace("text", F.lit("."), F.lit(" !"))).when(F.col("chunk_id") % 4 == 1, F.concat("text", F.lit(" x"))).when(F.col("chunk_id") % 4 == 2, F.lit("")).otherwise(F.col("text"))
     pause = F.when(F.col("chunk_id") % 3 == 0, "long").when(F.col("chunk_id") % 3 == 1, "short")
-    return read(spark, sf_dir, "chunks").filter("chunk_id % 2 = 0 or chunk_id % 3 = 0").select("chunk_id", F.col("chunk_id").alias("edit_i"), kinds.alias("text"), pause.alias("pause"))
+    return read(spark, sf_dir, "chunks").filter("true" if every else "chunk_id % 2 = 0 or chunk_id % 3 = 0").select("chunk_id", F.col("chunk_id").alias("edit_i"), kinds.alias("text"), pause.alias("pause"))
 
 
 @query
@@ -392,6 +401,16 @@ def judged_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.judge_edits(read(spark, sf_dir, "chunks"), edits(spark, sf_dir), ["chunk_id"]).select("chunk_id", "outcome")
 
 
+@query
+def applied_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.apply_edits(read(spark, sf_dir, "chunks").select("chunk_id", "text", "pause_ms"), edits(spark, sf_dir, True), ["chunk_id"])
+
+
+@query
+def judged_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.judge_edits(read(spark, sf_dir, "chunks"), edits(spark, sf_dir, True), ["chunk_id"]).select("chunk_id", "outcome")
+
+
 @query
 def delivery_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = read(spark, sf_dir, "chunks").filter("text is not null").select("chunk_id", T.delivery_tags(F.col("text")).alias("tags"))

@@ -100,6 +100,23 @@ def test_edits(spark):
     assert collected(G.apply_edits(chunks, edits.filter("edit_i < 3"), ["chunk_id"])) == [(1, "Да. Он.", 700), (2, "Нет.", 350), (3, None, None)]
 
 
+def test_whole_tables(spark, sf_dir, tmp_path):
+    from lectern.functions import narration
+    from lectern.plans.queries import QUERIES
+
+    rows = [(1, "EN", "Dr. May, e.g. etc."), (2, "en", "see Mr. Fox"), (3, "RU", "Хлеб и Т.Д. на стр. 5"), (4, "ru", "т. е. он"), (5, "de", "Dr. May"), (6, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [(k, lang.lower(), narration.expand_abbreviations(t, lang.lower())) for k, lang, t in rows[:4]]
+    assert collected(QUERIES["abbreviations_all"](spark, str(tmp_path))) == wanted
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
+    every = QUERIES["judged_edits_all"](spark, sf_dir)
+    assert collected(every.select("chunk_id")) == collected(chunks.select("chunk_id"))
+    part = {r[0]: r[1] for r in QUERIES["judged_edits"](spark, sf_dir).collect()}
+    assert part.items() < {r[0]: r[1] for r in every.collect()}.items()
+    changed = QUERIES["applied_edits_all"](spark, sf_dir).join(chunks.select("chunk_id", F.col("text").alias("own")), "chunk_id").filter("text <> own and chunk_id % 6 = 5")
+    assert changed.filter("chunk_id % 4 = 1").count() > 0
+
+
 def test_edit_cache(spark):
     chunks = spark.createDataFrame([(1, "g", "Да."), (2, "g", "Нет."), (3, "h", "Да.")], "chunk_id int, chapter string, text string")
     edits = spark.createDataFrame([(1, 1, "Да!", "long"), (2, 2, "Да.", None)], "chunk_id int, edit_i int, text string, pause string")
