@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import checkpointed
-from lectern.llm.sentences import ENDING, NUMBERED, TITLES
+from lectern.llm.sentences import ENDING, FUNCTION_WORDS, NUMBERED, SCRIPTS, TITLES
 
 #: A limit: at least so many texts of a source stop at the length, so many times the mean of the lengths around it,
 #: and at least this share of those whose end can be judged is unfinished.
@@ -25,8 +25,6 @@ LEAST_AT_LIMIT, TIMES_AROUND, AROUND, UNFINISHED_SHARE = 4, 6.0, 25, 0.5
 BYTE_SLACK = 3
 #: A mark of omission may follow a cut from which up to this many spaces were stripped.
 OMISSION_SLACK = 3
-#: Characters of the end that are inspected.
-LOOKED_AT = 400
 #: How often words must stand at the end of other lines or sentences to be an ending, unless they hardly ever do.
 LEAST_ENDINGS = 2
 
@@ -37,47 +35,63 @@ LEAST_STANDING, HARDLY, HARDLY_LISTED = 40, 0.01, 0.001
 LEAST_LONGER = 5
 
 STOP = "[.!?…。！？।॥؟．｡]"
-_CLOSE = "[\"'”’»)\\]」』）“]*"
-_ENDS = f"{STOP}\\s?{_CLOSE}$"
-_PICTURE = "[\\p{So}\\p{Sk}\\x{fe0f}\\x{200d}\\x{2665}]$"
-_OMISSION = "(\\s*(\\[(\\.\\.\\.|…)\\]|\\.\\.\\.|…))$"
+_CLOSERS = "\"'”’»)\\]」』）“"
+_PICTURES = "\\p{So}\\p{Sk}\\x{fe0f}\\x{200d}\\x{2665}"
 _SPACELESS = "[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}]"
 _LETTER = "\\p{L}\\p{M}\\p{N}"
 _UNSPACED = "[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]"
 #: A sentence that ends within a line: a letter, stop and closing marks, then another letter.
-_WITHIN = f"[\\p{{L}}\\p{{M}}]{STOP}{_CLOSE}(?=[^{_LETTER}\\n]{{0,4}}(<[^<>\\n]{{1,200}}>[^{_LETTER}\\n]{{0,4}})*\\p{{L}})"
-_SINGLE = "(^|[\\s(«“„\".])\\p{L}\\.$"
-
-
-def _abbreviation() -> str:
-    words = sorted({w for table in (TITLES, NUMBERED) for ws in table.values() for w in ws.split() if len(w) > 1})
-    return "(?iu)(^|[\\s(«“„\"])(" + "|".join(w.replace("-", "\\-") for w in words) + ")\\.$"
-
-
-def _ending() -> str:
-    return "(?iu)(^|\\s)(" + "|".join("\\.\\s?".join(w.split(".")) for w in ENDING) + ")\\.$"
-
-
-def _last(text: Column, count: int) -> Column:
-    return F.substring(text, -count, count)
+_WITHIN = f"[\\p{{L}}\\p{{M}}]{STOP}[{_CLOSERS}]*(?=[^{_LETTER}\\n]{{0,4}}(<[^<>\\n]*>[^{_LETTER}\\n]{{0,4}})*\\p{{L}})"
+
+# Endings are read from the reversed text, where a pattern for an ending is anchored at the beginning and reads as far
+# as the ending goes, however long it or the text is.
+_ENDS = f"[{_CLOSERS}]*+\\s?{STOP}"
+_TAGS = "(?:>[^<>]*?[A-Za-z]/?<\\s*+)*+"
+_OMISSION = "^(\\]?(\\.\\.\\.|…)\\[|\\.\\.\\.|…)\\s*+"
+_BRACKETED = "^\\](\\.\\.\\.|…)\\["
+#: A character that was divided, an entity or a tag without its end.
+_BROKEN = "^\\x{fffd}|^[A-Za-z0-9]{0,31}#?&|^[^<>]*[A-Za-z]/?<|^/?<"
+_OPENS = "(?=$|[\\s(«“„\"])"
+
+
+def _reversed_words(words: list[str]) -> str:
+    return "|".join("\\s?\\.".join(part[::-1] for part in reversed(w.split("."))) for w in sorted(words))
+
+
+def _abbreviated(text: Column, backward: Column) -> Column:
+    """Whether the last word is an abbreviation, written as it is listed, of a language whose frequent words stand in
+    the text at least half as often as those of any other language of its script."""
+    points = {code: F.regexp_count(F.lower(text), F.lit(f"(?U)\\b({'|'.join(words.split())})\\b")) for code, words in FUNCTION_WORDS.items()}
+    out = backward.rlike(f"^\\.\\p{{L}}(?=$|[\\s(«“„\".])") & ~backward.rlike(f"(?iu)^\\.({_reversed_words(list(ENDING))})(?=$|\\s)")
+    for code, script in SCRIPTS.items():
+        listed = [w for table in (TITLES, NUMBERED) for w in table.get(code, "").split() if len(w) > 1]
+        forms = [f"(?i:{_reversed_words([w for w in listed if w == w.lower()])})", *([_reversed_words([w for w in listed if w != w.lower()])] if any(w != w.lower() for w in listed) else [])]
+        rivals = [points[other] for other, name in SCRIPTS.items() if name == script and other in points]
+        spoken = 2 * points[code] >= F.greatest(*rivals) if code in points and len(rivals) > 1 else F.lit(True)
+        # The words of the text are counted only where an abbreviation of the language stands at its end.
+        out = out | F.when(backward.rlike(f"(?u)^\\.({'|'.join(forms)}){_OPENS}"), spoken).otherwise(False)
+    return out
+
+
+def quotation_open(backward: Column) -> Column:
+    """Of a reversed text without outer space: whether the last quotation mark of a kind in the last paragraph opens a quotation that nothing closes.
+
+    Only the marks are kept, in their order. „…“ are paired before “…”, as “ closes the one and opens the other. A
+    quotation that goes on in another paragraph has its mark there again, so earlier paragraphs open nothing.
+    """
+    marks = F.reverse(F.regexp_replace(F.substring_index(backward, "\n\n", 1), "[^«»“”„「」『』]++", ""))
+    one = lambda kinds: F.regexp_replace(marks, f"[^{kinds}]++", "")
+    low = F.regexp_replace(one("“”„"), "„[^“”„]*+[“”]", "")
+    found = low.rlike("[“„]$") | one("«»").rlike("«$") | one("「」").rlike("「$") | one("『』").rlike("『$")
+    return F.when(backward.rlike("[«“„「『]"), found).otherwise(False)
 
 
-def unfinished(text: Column, before: Column | None = None) -> Column:
-    """Whether a text without outer space stops inside a word, sentence or quotation.
-
-    Patterns are searched for in as many last characters as they can span: stops in 12, words in 32, quotations in 200.
-    Whether „ stands open where those begin is seen in ``before``, all that comes earlier, if ``text`` is not the whole.
-    """
-    before = F.substring(text, F.lit(1), F.greatest(F.length(text) - 200, F.lit(0))) if before is None else before
-    window = F.reverse(_last(text, 200))
-    inside = window.rlike("[“”]") & F.contains(before, F.lit("„")) & F.reverse(before).rlike("^[^“”„]*+„")
-    window = F.when(inside, F.regexp_replace(window, "[“”]([^“”„]*)$", "$1")).otherwise(window)
-    bare = F.regexp_replace(window, "[“”][^“”„]*„", "")
-    opened = bare.rlike("^[^»]{0,80}«|^[^」]{0,80}「|^[^』]{0,80}『|^[^”“]{0,80}“|^[^“”]{0,80}„")
-    end, word = _last(text, 12), _last(text, 32)
-    ended = end.rlike(_ENDS)
-    abbreviated = word.rlike(_abbreviation()) | (word.rlike(_SINGLE) & ~word.rlike(_ending()))
-    return (~ended & ~end.rlike(_PICTURE)) | opened | (ended & end.rlike("\\.$") & abbreviated)
+def unfinished(text: Column, backward: Column | None = None, opened: Column | None = None) -> Column:
+    """Whether a text without outer space stops inside a word, sentence or quotation. ``backward`` is its reverse."""
+    backward = F.reverse(text) if backward is None else backward
+    opened = quotation_open(backward) if opened is None else opened
+    ended = backward.rlike(f"^{_ENDS}")
+    return (~ended & ~backward.rlike(f"^[{_PICTURES}]")) | opened | F.when(ended & backward.startswith("."), _abbreviated(text, backward)).otherwise(False)
 
 
 #: The encodings, in the order of the lengths.
@@ -97,7 +111,7 @@ def lengths(text: Column) -> Column:
     utf16 = F.octet_length(F.encode(text, "UTF-16LE")) / 2
     escaped = chars + quote + _count(text, "\\") + _count(text, "\n") + _count(text, "\r") + _count(text, "\t")
     wide = chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7f]++", ""))
-    damaged = 3 * F.length(F.regexp_extract(F.substring(text, -3, 3), "\ufffd+$", 0))
+    damaged = 3 * F.length(F.regexp_extract(F.reverse(text), "^\\x{fffd}*+", 0))
     parts = (chars, octets, octets - damaged, utf16, chars + 4 * amp + 3 * angle + 5 * quote + 4 * single, chars + 4 * amp + 3 * angle, octets + 4 * amp + 3 * angle + 5 * quote + 4 * single, escaped, escaped + 5 * wide + 6 * (utf16 - chars), chars + breaks, octets + breaks)
     return F.array(*(p.cast("int") for p in parts))
 
@@ -108,29 +122,28 @@ def _tail(segment: Column) -> Column:
     return F.when(last.rlike(_UNSPACED), F.substring(last, -5, 5)).otherwise(last)
 
 
-def _unit(text: Column) -> Column:
-    """The last word in lower case without what follows it, or its last characters in scripts without spaces."""
-    last = F.lower(F.regexp_extract(text, f"([{_LETTER}]++)[^{_LETTER}]*+$", 1))
+def _unit(backward: Column) -> Column:
+    """The last word in lower case without what follows it, or its last characters in scripts without spaces; of a
+    reversed text."""
+    last = F.lower(F.reverse(F.regexp_extract(backward, f"^[^{_LETTER}]*+([{_LETTER}]++)", 1)))
     return F.when(last.rlike(f"{_UNSPACED}$"), F.substring(last, -5, 5)).otherwise(last)
 
 
 def inspected(documents: DataFrame) -> DataFrame:
-    """``doc_id, source`` and what the text tells by itself; null and empty texts are left out. No text is kept."""
+    """``doc_id, source`` and what the whole text tells by itself; null and empty texts are left out. No text is kept."""
     text = F.col("text")
-    # Endings are looked at in the last characters of the text, lines and sentences in the whole of it.
-    last = F.substring(text, -LOOKED_AT, LOOKED_AT)
-    base = documents.filter(F.length(text) > 0).select("doc_id", "source", text, last.alias("last"), F.regexp_replace(last, "\\s+$", "").alias("trimmed"))
-    base = base.withColumn("core", F.regexp_replace("trimmed", _OMISSION, "")).withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0))
+    base = documents.filter(F.length(text) > 0).select("doc_id", "source", text, F.reverse(text).alias("whole"))
+    base = base.withColumn("trimmed", F.regexp_replace("whole", "^\\s+", "")).withColumn("core", F.regexp_replace("trimmed", _OMISSION, ""))
+    base = base.withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)).withColumn("opened", quotation_open(F.col("trimmed")))
     lines = F.col("lines")
-    # What comes before the last 200 characters of the text without its end.
-    before = lambda end: F.substring(text, F.lit(1), F.greatest(F.length(text) - F.length("last") + F.length(end) - 200, F.lit(0)))
     inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    ends = lambda x: _last(F.regexp_replace(_last(x, 60), "(\\s*</?[A-Za-z][^<>]{0,20}>)+\\s*$", ""), 12).rlike(_ENDS)
+    ends = lambda x: F.reverse(x).rlike(f"^\\s*+{_TAGS}{_ENDS}")
     few = (F.size(lines) >= 3) & (F.size(F.filter(inner, ends)) * 5 <= F.size(inner))
     # Prose with hard line breaks has its sentences end within the lines.
     listed = F.when(few, F.regexp_count(text, F.lit(_WITHIN)) * 5 <= F.size(lines)).otherwise(False)
-    spaceless = F.col("core").rlike(f"{_SPACELESS}$")
+    spaceless = F.col("core").rlike(f"^{_SPACELESS}")
     segments = F.when(spaceless, F.filter(F.split(text, "\\s+"), lambda x: F.length(x) > 0))
+    whole = unfinished(text, F.col("trimmed"), F.col("opened"))
     return base.select(
         "doc_id",
         "source",
@@ -138,13 +151,13 @@ def inspected(documents: DataFrame) -> DataFrame:
         listed.alias("listed"),
         spaceless.alias("spaceless"),
         (F.col("trimmed") != F.col("core")).alias("omission"),
-        F.col("trimmed").rlike("\\[(\\.\\.\\.|…)\\]$").alias("bracketed"),
-        F.col("last").rlike("\ufffd$|&#?[A-Za-z0-9]{0,8}$|<[^<>]{0,200}$").alias("broken"),
-        unfinished(F.col("trimmed"), before("trimmed")).alias("open"),
-        F.when(F.col("trimmed") == F.col("core"), unfinished(F.col("trimmed"), before("trimmed"))).otherwise(unfinished(F.col("core"), before("core"))).alias("open_core"),
-        _tail(F.col("core")).alias("tail"),
+        F.col("trimmed").rlike(_BRACKETED).alias("bracketed"),
+        F.col("whole").rlike(_BROKEN).alias("broken"),
+        whole.alias("open"),
+        F.when(F.col("trimmed") == F.col("core"), whole).otherwise(unfinished(text, F.col("core"), F.col("opened"))).alias("open_core"),
+        _tail(F.reverse(F.regexp_extract("core", "^(\\S*+)", 1))).alias("tail"),
         _unit(F.col("core")).alias("unit"),
-        F.col("core").rlike(f"[{_LETTER}]$").alias("lettered"),
+        F.col("core").rlike(f"^[{_LETTER}]").alias("lettered"),
         F.when(listed, F.transform(inner, _tail)).when(spaceless, F.transform(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), _tail)).alias("endings"),
     )
 
@@ -183,7 +196,7 @@ def standing(documents: DataFrame, features: DataFrame) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 4, F.lit(1))), lambda k: place(F.substring(word, k, F.lit(5)), ended & (k >= size - 4), F.lit(False)))
     begins = F.transform(F.sequence(F.lit(2), F.greatest(F.least(size - 1, F.lit(40)), F.lit(2))), lambda k: place(F.substring(word, F.lit(1), k), F.lit(False), F.lit(True)))
     places = words.select(F.explode(F.when(word.rlike(f"{_UNSPACED}$"), grams).when(size > 2, F.concat(whole, begins)).otherwise(whole)).alias("p")).select("p.*")
-    line_ends = features.filter(~F.col("spaceless")).select(F.explode("endings").alias("tail")).select(_unit(F.col("tail")).alias("unit"), F.lit(1).cast("long").alias("at_end"), none.alias("inside"), none.alias("longer"))
+    line_ends = features.filter(~F.col("spaceless")).select(F.explode("endings").alias("tail")).select(_unit(F.reverse("tail")).alias("unit"), F.lit(1).cast("long").alias("at_end"), none.alias("inside"), none.alias("longer"))
     sums = [F.sum(c).alias(c) for c in ("at_end", "inside", "longer")]
     found = places.unionByName(line_ends).join(finals.select("unit"), "unit", "left_semi").groupBy("unit").agg(*sums)
     # The last words of the texts themselves are no evidence for themselves.
@@ -191,9 +204,10 @@ def standing(documents: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def truncated_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, at_limit, cut``: for every document with a text, whether it was cut.
+    """``doc_id, source, at_limit, step, cut``: for every document with a text, whether it was cut and what showed it.
 
-    A null source is a source of its own; it has limits like others. A text cut exactly where a sentence, line or, in
+    ``step`` is ``limit`` where the length is a hidden limit of the source and the ending confirms it, ``ending`` where
+    the text stops elsewhere in the middle, as a broken transfer leaves it, and null where it is whole. A null source is a source of its own; it has limits like others. A text cut exactly where a sentence, line or, in
     a script without stops, a known last word ends counts as whole. Off limits, a list or a text without stops is
     cut where its last word is the beginning of others or hardly ever ends anything. An empty table gives no rows.
     """
@@ -214,17 +228,17 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
     joined = features.drop("endings").join(per_source, "source_key", "left").join(endings, "tail", "left").join(stands, "unit", "left")
     joined = joined.withColumn("at_limit", F.coalesce(F.exists("limits", near), F.lit(False))).withColumn("at_mark", F.coalesce(F.exists("limits", lambda l: near(l) & l["marked"]), F.lit(False)))
     unknown, unjudged = F.col("known").isNull() | F.coalesce("rare", F.lit(False)), F.col("listed") | F.col("spaceless")
-    cut = (
-        F.col("broken")
-        | F.col("bracketed")
-        | (~unjudged & F.col("open"))
-        | (F.col("at_mark") & F.col("omission") & F.when(unjudged, unknown).otherwise(F.col("open_core")))
-        | (F.col("at_limit") & unjudged & unknown)
-        | (unjudged & F.col("lettered") & F.coalesce(F.col("rare") | F.col("begun"), F.lit(False)))
-    )
-    return joined.select("doc_id", "source", "at_limit", cut.alias("cut"))
+    # First the texts at a limit of their source, confirmed by their ending: one that can be judged, or a last word.
+    divided = F.col("broken") | F.col("bracketed")
+    marked = F.col("at_mark") & F.col("omission") & F.when(unjudged, unknown).otherwise(F.col("open_core"))
+    at_limit = F.col("at_limit") & (divided | marked | F.when(unjudged, unknown).otherwise(F.col("open")))
+    # Then the texts cut in transfer, at no length that others share: only the ending tells.
+    stopped = F.when(unjudged, F.col("lettered") & F.coalesce(F.col("rare") | F.col("begun"), F.lit(False))).otherwise(F.col("open"))
+    step = F.when(at_limit, "limit").when(divided | stopped, "ending")
+    return joined.select("doc_id", "source", "at_limit", step.alias("step"), step.isNotNull().alias("cut"))
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:
-    """``source, n_docs, n_cut, share``: how often each source truncates."""
-    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("cut").alias("n_cut")).withColumn("share", F.round(F.col("n_cut") / F.col("n_docs"), 6))
+    """``source, n_docs, n_cut, n_at_limit, share``: how often each source truncates, and how often at a limit of its own."""
+    counts = found.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("step") == "limit").alias("n_at_limit"))
+    return counts.withColumn("share", F.round(F.col("n_cut") / F.col("n_docs"), 6))
