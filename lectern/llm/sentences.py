@@ -153,9 +153,17 @@ class _Rules:
 _rules = lru_cache(maxsize=None)(_Rules)
 
 
+@lru_cache(maxsize=1)
+def _any_language() -> _Rules:
+    """All abbreviations, and no word that opens sentences: what it does not suppress, no language does."""
+    out = _Rules(frozenset({*TITLES, *MAY_END, *NUMBERED}))
+    out.openers = frozenset()
+    return out
+
+
 def languages_of(text: str) -> frozenset[str]:
     """The languages whose abbreviations count in a text: those whose frequent words and own letters stand in it, at
-    least half as often as those of the most frequent language of their script; without any, all of the script's."""
+    least a third as often as those of the most frequent language of their script; without any, all of the script's."""
     low = text.lower()
     words: dict[str, int] = {}
     for word in _WORD.findall(low):
@@ -165,7 +173,7 @@ def languages_of(text: str) -> frozenset[str]:
     for script in ("Latin", "Cyrillic"):
         own = {code: points.get(code, 0) for code, name in SCRIPTS.items() if name == script}
         most = max(own.values())
-        out |= {code for code, n in own.items() if 2 * n >= most}
+        out |= {code for code, n in own.items() if 3 * n >= most}
     return frozenset(out)
 
 
@@ -174,13 +182,14 @@ def _known(word: str, listed: frozenset[str]) -> bool:
     return word in listed or word.lower() in listed or (word.isupper() and len(word) > 1 and word.capitalize() in listed)
 
 
-def _suppressed(text: str, stop: int, start: int, following: str, languages: frozenset[str]) -> bool:
+def _suppressed(text: str, stop: int, start: int, following: str, rules: _Rules) -> bool:
     """Whether the full stop at ``stop`` belongs to an abbreviation, initial or number that goes on at ``start``."""
-    before = U.normalize("NFKC", _IGNORED.sub("", text[max(0, stop - LONGEST) : stop]))
+    before = text[max(0, stop - LONGEST) : stop]
+    if not before.isascii():
+        before = U.normalize("NFKC", _IGNORED.sub("", before))
     token = _TOKEN.search(before)
     if not token:
         return False
-    rules = _rules(languages)
     word = token[0]
     nxt = _WORD.match(text, start)
     if word.isdigit():
@@ -303,10 +312,12 @@ def sentence_starts(stored: str | None, classes: bytes | None = None) -> list[in
         if kind == b"L":  # SB8
             continue
         if plain and not quoted:
-            if languages is None:
-                languages = languages_of(text)
-            if _suppressed(text, begin, start, text[letter.start()], languages):
-                continue
+            # The language is looked for only where the stop may belong to an abbreviation of any.
+            following = text[letter.start()]
+            if _suppressed(text, begin, start, following, _any_language()):
+                languages = languages_of(text) if languages is None else languages
+                if _suppressed(text, begin, start, following, _rules(languages)):
+                    continue
         if quoted and touching and kind in b"OH":
             continue  # words that attribute the quotation
         if not spaced and not plain and kind == b"N" and text[match.end() - 1] == ".":

@@ -43,14 +43,17 @@ _UNSPACED = "[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}
 #: A sentence that ends within a line: a letter, stop and closing marks, then another letter.
 _WITHIN = f"[\\p{{L}}\\p{{M}}]{STOP}[{_CLOSERS}]*(?=[^{_LETTER}\\n]{{0,4}}(<[^<>\\n]*>[^{_LETTER}\\n]{{0,4}})*\\p{{L}})"
 
-# Endings are read from the reversed text, where a pattern for an ending is anchored at the beginning and reads as far
-# as the ending goes, however long it or the text is.
+# Endings are read from the end of the text, reversed, so that patterns are anchored at the beginning. The end is as
+# much as any of them can read, whatever its length: the last words and all signs around them.
+_END_WORDS = 4
+_END = f"^(?:[^{_LETTER}]*+[{_LETTER}]*+){{{_END_WORDS}}}[^{_LETTER}]*+"
 _ENDS = f"[{_CLOSERS}]*+\\s?{STOP}"
-_TAGS = "(?:>[^<>]*?[A-Za-z]/?<\\s*+)*+"
 _OMISSION = "^(\\]?(\\.\\.\\.|…)\\[|\\.\\.\\.|…)\\s*+"
 _BRACKETED = "^\\](\\.\\.\\.|…)\\["
-#: A character that was divided, an entity or a tag without its end.
-_BROKEN = "^\\x{fffd}|^[A-Za-z0-9]{0,31}#?&|^[^<>]*[A-Za-z]/?<|^/?<"
+#: A character that was divided, or an entity without its end.
+_BROKEN = "^\\x{fffd}|^[A-Za-z0-9]{0,31}#?&"
+#: A line that ends with a stop, closing marks and tags.
+_LINE_ENDS = f"{STOP}\\s?[{_CLOSERS}]*+(?:\\s*+</?[A-Za-z][^<>]*>)*+\\s*+$"
 _OPENS = "(?=$|[\\s(«“„\"])"
 
 
@@ -60,36 +63,42 @@ def _reversed_words(words: list[str]) -> str:
 
 def _abbreviated(text: Column, backward: Column) -> Column:
     """Whether the last word is an abbreviation, written as it is listed, of a language whose frequent words stand in
-    the text at least half as often as those of any other language of its script."""
+    the text at least a third as often as those of any other language of its script."""
     points = {code: F.regexp_count(F.lower(text), F.lit(f"(?U)\\b({'|'.join(words.split())})\\b")) for code, words in FUNCTION_WORDS.items()}
     out = backward.rlike(f"^\\.\\p{{L}}(?=$|[\\s(«“„\".])") & ~backward.rlike(f"(?iu)^\\.({_reversed_words(list(ENDING))})(?=$|\\s)")
     for code, script in SCRIPTS.items():
         listed = [w for table in (TITLES, NUMBERED) for w in table.get(code, "").split() if len(w) > 1]
         forms = [f"(?i:{_reversed_words([w for w in listed if w == w.lower()])})", *([_reversed_words([w for w in listed if w != w.lower()])] if any(w != w.lower() for w in listed) else [])]
         rivals = [points[other] for other, name in SCRIPTS.items() if name == script and other in points]
-        spoken = 2 * points[code] >= F.greatest(*rivals) if code in points and len(rivals) > 1 else F.lit(True)
+        spoken = 3 * points[code] >= F.greatest(*rivals) if code in points and len(rivals) > 1 else F.lit(True)
         # The words of the text are counted only where an abbreviation of the language stands at its end.
         out = out | F.when(backward.rlike(f"(?u)^\\.({'|'.join(forms)}){_OPENS}"), spoken).otherwise(False)
     return out
 
 
-def quotation_open(backward: Column) -> Column:
-    """Of a reversed text without outer space: whether the last quotation mark of a kind in the last paragraph opens a quotation that nothing closes.
+def quotation_open(text: Column) -> Column:
+    """Whether the last quotation mark of a kind in the last paragraph opens a quotation that nothing closes.
 
-    Only the marks are kept, in their order. „…“ are paired before “…”, as “ closes the one and opens the other. A
-    quotation that goes on in another paragraph has its mark there again, so earlier paragraphs open nothing.
+    „…“ are paired before “…”, as “ closes the one and opens the other. A quotation that goes on in another paragraph
+    has its mark there again, so earlier paragraphs open nothing. But for „ these are searches for bytes.
     """
-    marks = F.reverse(F.regexp_replace(F.substring_index(backward, "\n\n", 1), "[^«»“”„「」『』]++", ""))
-    one = lambda kinds: F.regexp_replace(marks, f"[^{kinds}]++", "")
-    low = F.regexp_replace(one("“”„"), "„[^“”„]*+[“”]", "")
-    found = low.rlike("[“„]$") | one("«»").rlike("«$") | one("「」").rlike("「$") | one("『』").rlike("『$")
-    return F.when(backward.rlike("[«“„「『]"), found).otherwise(False)
+    last = F.substring_index(F.rtrim(text, F.lit(" \t\r\n")), "\n\n", -1)
+    open_ = lambda opening, closing: F.contains(F.substring_index(last, closing, -1), F.lit(opening))
+    marks = F.regexp_replace(F.regexp_replace(last, "[^“”„]++", ""), "„[^“”„]*+[“”]", "")
+    low = F.when(F.contains(last, F.lit("„")), marks.rlike("[“„]$")).otherwise(open_("“", "”"))
+    return open_("«", "»") | open_("「", "」") | open_("『", "』") | low
+
+
+def tag_open(text: Column) -> Column:
+    """Whether the last ``<`` of a text begins a tag that has no end."""
+    after = F.substring_index(text, "<", -1)
+    return F.when(F.contains(text, F.lit("<")), ~F.contains(after, F.lit(">")) & after.rlike("^(/?[A-Za-z]|/?$)")).otherwise(False)
 
 
 def unfinished(text: Column, backward: Column | None = None, opened: Column | None = None) -> Column:
     """Whether a text without outer space stops inside a word, sentence or quotation. ``backward`` is its reverse."""
     backward = F.reverse(text) if backward is None else backward
-    opened = quotation_open(backward) if opened is None else opened
+    opened = quotation_open(text) if opened is None else opened
     ended = backward.rlike(f"^{_ENDS}")
     return (~ended & ~backward.rlike(f"^[{_PICTURES}]")) | opened | F.when(ended & backward.startswith("."), _abbreviated(text, backward)).otherwise(False)
 
@@ -110,8 +119,8 @@ def lengths(text: Column) -> Column:
     amp, angle, quote, single = _count(text, "&"), _count(text, "<") + _count(text, ">"), _count(text, '"'), _count(text, "'")
     utf16 = F.octet_length(F.encode(text, "UTF-16LE")) / 2
     escaped = chars + quote + _count(text, "\\") + _count(text, "\n") + _count(text, "\r") + _count(text, "\t")
-    wide = chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7f]++", ""))
-    damaged = 3 * F.length(F.regexp_extract(F.reverse(text), "^\\x{fffd}*+", 0))
+    wide = F.when(octets == chars, 0).otherwise(chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7f]++", "")))
+    damaged = F.when(F.endswith(text, F.lit("\ufffd")), 3 * F.length(F.regexp_extract(F.reverse(text), "^\\x{fffd}*+", 0))).otherwise(0)
     parts = (chars, octets, octets - damaged, utf16, chars + 4 * amp + 3 * angle + 5 * quote + 4 * single, chars + 4 * amp + 3 * angle, octets + 4 * amp + 3 * angle + 5 * quote + 4 * single, escaped, escaped + 5 * wide + 6 * (utf16 - chars), chars + breaks, octets + breaks)
     return F.array(*(p.cast("int") for p in parts))
 
@@ -133,12 +142,12 @@ def inspected(documents: DataFrame) -> DataFrame:
     """``doc_id, source`` and what the whole text tells by itself; null and empty texts are left out. No text is kept."""
     text = F.col("text")
     base = documents.filter(F.length(text) > 0).select("doc_id", "source", text, F.reverse(text).alias("whole"))
-    base = base.withColumn("trimmed", F.regexp_replace("whole", "^\\s+", "")).withColumn("core", F.regexp_replace("trimmed", _OMISSION, ""))
-    base = base.withColumn("lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)).withColumn("opened", quotation_open(F.col("trimmed")))
+    base = base.select("*", F.regexp_extract("whole", _END, 0).alias("end"), quotation_open(text).alias("opened"))
+    base = base.withColumn("trimmed", F.regexp_replace("end", "^\\s++", "")).withColumn("core", F.regexp_replace("trimmed", _OMISSION, ""))
+    base = base.withColumn("lines", F.when(F.contains(text, F.lit("\n")), F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)))
     lines = F.col("lines")
     inner = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    ends = lambda x: F.reverse(x).rlike(f"^\\s*+{_TAGS}{_ENDS}")
-    few = (F.size(lines) >= 3) & (F.size(F.filter(inner, ends)) * 5 <= F.size(inner))
+    few = (F.size(lines) >= 3) & (F.size(F.filter(inner, lambda x: x.rlike(_LINE_ENDS))) * 5 <= F.size(inner))
     # Prose with hard line breaks has its sentences end within the lines.
     listed = F.when(few, F.regexp_count(text, F.lit(_WITHIN)) * 5 <= F.size(lines)).otherwise(False)
     spaceless = F.col("core").rlike(f"^{_SPACELESS}")
@@ -152,7 +161,7 @@ def inspected(documents: DataFrame) -> DataFrame:
         spaceless.alias("spaceless"),
         (F.col("trimmed") != F.col("core")).alias("omission"),
         F.col("trimmed").rlike(_BRACKETED).alias("bracketed"),
-        F.col("whole").rlike(_BROKEN).alias("broken"),
+        (F.col("end").rlike(_BROKEN) | tag_open(text)).alias("broken"),
         whole.alias("open"),
         F.when(F.col("trimmed") == F.col("core"), whole).otherwise(unfinished(text, F.col("core"), F.col("opened"))).alias("open_core"),
         _tail(F.reverse(F.regexp_extract("core", "^(\\S*+)", 1))).alias("tail"),
