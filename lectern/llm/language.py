@@ -65,7 +65,7 @@ _STOPS = ".!?…。！？।॥．｡\n"
 def _maps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: its folded letter (32 outside words, 0 to drop), its weight, and its part in cutting."""
     single, _ = tables()
-    size = 0x30000
+    size = 0x34000
     fold = np.full(size, 32, np.uint32)
     weight = np.zeros(size, np.int32)
     part = np.zeros(size, np.int8)

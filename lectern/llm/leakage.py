@@ -47,7 +47,7 @@ def _letter_table() -> np.ndarray:
     """For each code point of a comparison form its letter without case, ``DROPPED`` for what does not count."""
     twins = dict(zip(*CAPITAL_TWINS))
     out = np.full(LAST + 1, DROPPED, np.uint32)
-    for code in range(0x30000):
+    for code in range(0x34000):
         char = chr(code)
         if U.category(char)[0] in "LNM":
             lower = char.lower()

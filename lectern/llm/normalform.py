@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from lectern.llm.common import checkpointed
 
 # Letters of two scripts with one shape, in natural order.
-CYRILLIC_TWINS = ("АВЕЅІЈКМНОРСТУХԚԜЀабвгдеѕіјкмнорстухѵѡԁһӏԛԝ", "ABESIJKMHOPCTYXQWÈaбвгдesijкмнopcтyxvѡdhlqw")
+CYRILLIC_TWINS = ("АВЕЅІЈКМНОРСТУХҮԚԜЀабвгдеѕіјкмнорстухѵѡԁһӏԛԝ", "ABESIJKMHOPCTYXYQWÈaбвгдesijкмнopcтyxvѡdhlqw")
 GREEK_TWINS = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc")
+ARMENIAN_TWINS = ("ՏՕՍԼսոհզցօ", "SOULunhqgo")
+CHEROKEE_TWINS = ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4RWVSLCPKB")
 #: Compatibility forms that a reader does not see. Superscripts, circles, fractions and the like are visible.
 INVISIBLE_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<font>")
 #: Ranges of characters that show nothing (Default_Ignorable_Code_Point).
 IGNORABLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
 
-_TWINS = {ord(a): b for a, b in (*zip(*CYRILLIC_TWINS), *zip(*GREEK_TWINS)) if a != b}
-_LIMIT = 0x20000
+_TWINS = {ord(a): b for twins in (CYRILLIC_TWINS, GREEK_TWINS, ARMENIAN_TWINS, CHEROKEE_TWINS) for a, b in zip(*twins) if a != b}
+#: Planes 4 to 13 hold no characters, and of those above only the invisible ones count.
+_PLANES = (range(0x34000), range(0xE0000, 0xE1000))
 
 
 @lru_cache(maxsize=1)
@@ -51,13 +54,15 @@ def tables() -> tuple[dict[int, str], frozenset[int]]:
             return char
         return "".join(expand(chr(int(p, 16))) for p in parts if p[0] != "<")
 
-    ignorable = {c for a, b in IGNORABLE for c in range(a, min(b, _LIMIT) + 1)}
+    ignorable = {c for a, b in IGNORABLE for c in range(a, b + 1)}
     single: dict[int, str] = {c: "" for c in ignorable}
     unstable: set[int] = set()
     seconds: set[int] = set()
-    for code in range(_LIMIT):
+    for code in (c for plane in _PLANES for c in plane):
         if 0xD800 <= code < 0xE000 or code in ignorable or 0xAC00 <= code < 0xD7A4:
             continue
+        if code >= 0x20000 and not U.decomposition(chr(code)):
+            continue  # ideographs, which are their own form
         char = chr(code)
         category = U.category(char)
         if category in ("Cn", "Co"):
@@ -272,20 +277,53 @@ def canonical_text(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("canonical", F.when(F.coalesce(plain, F.lit(True)), F.col("form")).otherwise(back(F.when(~plain, F.col("form")))))
 
 
+def _keyed(items: DataFrame) -> DataFrame:
+    keyed = items.select("item_kind", "item_id", "p_i", "text").filter("text <> ''")
+    return keyed.mapInArrow(_keys, "item_kind string, item_id long, p_i int, key long, spelling long, exact binary")
+
+
+def look_classes(items: DataFrame) -> DataFrame:
+    """``item_kind, item_id, p_i, class_id, spelling``: one row for each item that has a visible character.
+
+    Items of one kind look the same exactly when they have one ``class_id`` (128 bits of the hash of their comparison
+    form, as hex), and hold the same characters when they have one ``spelling`` too. Linear in the items: no pair is
+    made. Null and empty texts are no items.
+    """
+    return _keyed(items).select("item_kind", "item_id", "p_i", F.lower(F.hex("exact")).alias("class_id"), F.lower(F.hex("spelling")).alias("spelling"))
+
+
+def _salted(rows: DataFrame, by: list[str], count: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with one of the blocks of its group, and with all of them: a join of both on ``by`` and ``block`` has
+    every pair of rows of a group once. ``count`` is the number of rows of the group; a block holds about ``most``."""
+    blocks = F.ceil(F.col(count) / most).cast("int")
+    one = rows.withColumn("block", F.pmod(F.xxhash64(*(c for c in rows.columns if c not in by)), blocks).cast("int"))
+    return one, rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+
 def same_looking_pairs(items: DataFrame, most_per_task: int = 2000) -> DataFrame:
     """``item_kind, a_id, a_p_i, b_id, b_p_i``: items of one kind with different characters but one look.
 
     ``items`` holds ``item_kind, item_id, p_i, text``. Null and empty texts and texts without a visible character
-    are no items. Only classes with at least two spellings are joined; a class of more than ``most_per_task``
-    members is spread over as many join keys as it has such blocks, so no task holds all pairs of a hot class.
+    are no items. First the few spellings of each class are paired; the members of both spellings of a pair are
+    joined afterwards, so that nothing is made that is not in the result: copies with the very same characters never
+    meet. Groups of more than ``most_per_task`` spellings or members are spread over as many tasks as they have such
+    blocks, and it is the smaller group of a pair that is repeated for the blocks of the larger. Members of one spelling
+    that fill a partition are split by the skew join of adaptive execution.
     """
-    keyed = items.select("item_kind", "item_id", "p_i", "text").filter("text <> ''")
-    keyed = checkpointed(keyed.mapInArrow(_keys, "item_kind string, item_id long, p_i int, key long, spelling long, exact binary"))
-    classes = keyed.groupBy("item_kind", "key").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    classes = classes.select("item_kind", "key", F.ceil(F.col("n") / most_per_task).cast("int").alias("blocks"))
-    members = keyed.join(classes, ["item_kind", "key"])
-    a = members.select("item_kind", "key", F.pmod(F.xxhash64("item_id", "p_i"), F.col("blocks")).cast("int").alias("block"), F.col("item_id").alias("a_id"), F.col("p_i").alias("a_p_i"), F.col("spelling").alias("a_spelling"), F.col("exact").alias("a_exact"))
-    b = members.select("item_kind", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("item_id").alias("b_id"), F.col("p_i").alias("b_p_i"), F.col("spelling").alias("b_spelling"), F.col("exact").alias("b_exact"))
-    pairs = a.join(b, ["item_kind", "key", "block"]).filter("a_spelling <> b_spelling and a_exact = b_exact and (a_id < b_id or (a_id = b_id and a_p_i < b_p_i))")
-    return pairs.select("item_kind", "a_id", "a_p_i", "b_id", "b_p_i")
-
+    keyed = checkpointed(_keyed(items))
+    look = ["item_kind", "key", "exact"]
+    spellings = keyed.groupBy(*look, "spelling").agg(F.count(F.lit(1)).alias("n"))
+    classes = spellings.groupBy(*look).agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1")
+    # Few items have a second spelling; only these go on.
+    several = checkpointed(spellings.join(classes, look))
+    one, every = _salted(several, look, "spellings", most_per_task)
+    other = every.select(*look, "block", F.col("spelling").alias("few"), F.col("n").alias("n_few"))
+    pairs = one.withColumnRenamed("spelling", "many").withColumnRenamed("n", "n_many").join(other, [*look, "block"])
+    # Each pair of spellings once, the one with more members first.
+    pairs = pairs.filter("n_many > n_few or (n_many = n_few and many > few)").select(*look, "many", "few", F.ceil(F.col("n_many") / most_per_task).cast("int").alias("blocks"))
+    members = keyed.join(several.select(*look, "spelling"), [*look, "spelling"], "left_semi")
+    many = pairs.join(members.withColumnRenamed("spelling", "many"), [*look, "many"]).select(*look, "many", "few", F.pmod(F.xxhash64("item_id", "p_i"), F.col("blocks")).cast("int").alias("block"), F.struct("item_id", "p_i").alias("x"))
+    few = pairs.join(members.withColumnRenamed("spelling", "few"), [*look, "few"]).select(*look, "many", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("item_id", "p_i").alias("y"))
+    found = many.join(few, [*look, "many", "few", "block"])
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    return found.select("item_kind", a["item_id"].alias("a_id"), a["p_i"].alias("a_p_i"), b["item_id"].alias("b_id"), b["p_i"].alias("b_p_i"))

@@ -47,6 +47,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalform.same_looking_pairs(text_items(spark, sf_dir, ("chunk", "paragraph", "title")))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of look of every item, and its spelling."""
+    return normalform.look_classes(text_items(spark, sf_dir, ("chunk", "paragraph", "title")))
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical text of every item whose stored text differs from it."""
     found = normalform.canonical_text(text_items(spark, sf_dir, ("chunk", "paragraph", "title")))
@@ -132,5 +137,5 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p4_sentences, p5_found, p5_segments, p5_chunks, p6_found, p6_containers, p6_fill, p7_found, p7_cover, p8_found, p8_sources)
+    for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p3_classes, p3_forms, p4_found, p4_sentences, p5_found, p5_segments, p5_chunks, p6_found, p6_containers, p6_fill, p7_found, p7_cover, p8_found, p8_sources)
 }

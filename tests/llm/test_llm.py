@@ -156,10 +156,23 @@ def test_pairs_against_brute_force(spark):
     assert sorted(collected(normalform.same_looking_pairs(df))) == wanted
     assert sorted(collected(normalform.same_looking_pairs(df, most_per_task=3))) == wanted
     assert normalform.same_looking_pairs(df.limit(0)).count() == 0
+    classes = [r.asDict() for r in normalform.look_classes(df).collect()]
+    assert sorted(r["item_id"] for r in classes) == [k for k, f in enumerate(forms) if f]
+    assert all((x["class_id"] == y["class_id"]) == (forms[x["item_id"]] == forms[y["item_id"]]) and (x["spelling"] == y["spelling"]) == (texts[x["item_id"]] == texts[y["item_id"]]) for x in classes for y in classes[:20])
     out = normalform.canonical_text(items(spark, ["Сoceд", None, ""])).orderBy("item_id").collect()
     assert [r["canonical"] for r in out] == ["Сосед", None, ""]
 
 
+def test_hot_class(spark):
+    """A hundred thousand copies and one variant are as many pairs, not the square of it."""
+    import time
+
+    rows = spark.range(100_001).select(F.lit("title").alias("item_kind"), F.col("id").alias("item_id"), F.lit(-1).alias("p_i"), F.when(F.col("id") == 7, "Cосед").otherwise("Сосед").alias("text"))
+    began = time.perf_counter()
+    assert normalform.same_looking_pairs(rows).agg(F.count("*"), F.sum(F.when((F.col("a_id") == 7) | (F.col("b_id") == 7), 1))).first()[:2] == (100_000, 100_000)
+    assert time.perf_counter() - began < 60
+
+
 # Problem 4.
 
 
