@@ -29,10 +29,13 @@ from lectern.llm.normalform import DROPPED, LAST, blocks_of, code_tables, codes_
 MIN_RUN, LEAST_COVER = 60, (2, 5)
 GRAM = 40
 STRIDE = MIN_RUN - GRAM + 1
-#: Most items of one pass over the corpus; their shingles are sent to every task, so this bounds what is sent.
-ITEMS_PER_BLOCK = 4000
-#: Most candidate documents that are sent to the tasks as a hash table; with more, the join is shuffled.
-BROADCAST_CANDIDATES = 100_000
+#: Most items of one pass over the corpus, and most letters of them together unless one item has more. Both bound what
+#: is sent to every task: the letters and their shingles.
+ITEMS_PER_BLOCK, LETTERS_PER_BLOCK = 4000, 8_000_000
+#: Candidates are sent to the documents as a hash table up to this many bytes; beyond, the documents are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: A shingle of more items than this is shared: it is joined only where an item cannot be found without it.
+SHARED_BY = 8
 #: Characters hashed at a time.
 BLOCK_CHARS = 1 << 20
 
@@ -116,14 +119,38 @@ def item_shingles(letters: np.ndarray) -> list[tuple[int, int]]:
 
 
 def needed(length: int) -> int:
-    """Least number of shingles in a document that covers enough of an item: a run with m of them is shorter than
-    MIN_RUN + m * STRIDE."""
+    """Least number of shingles in a document that covers ``length`` characters of an item: a run with m of them is
+    shorter than MIN_RUN + m * STRIDE."""
+    return max(1, -(-length // (MIN_RUN - 1 + STRIDE)))
+
+
+def least_cover(length: int) -> int:
+    """Characters of an item of this length that must be covered."""
     up, down = LEAST_COVER
-    return max(1, -(-length * up // (down * (MIN_RUN - 1 + STRIDE))))
+    return -(-length * up // down)
+
 
+def prefix_room(length: int, positions: Sequence[int], shared: Sequence[bool]) -> tuple[int, bool]:
+    """How many shingles of an item a document may lack, and whether only those not shared count.
 
-def _hits(known: np.ndarray):  # noqa: ANN202
+    Shared shingles, those of a prompt that a whole suite opens with, say little and stand in many documents. Runs that
+    hold no other shingle cover no more than the shared ones and a stride on both sides of them. Where that is less
+    than must be covered, a document holds enough of the other shingles for the rest, and only they are joined.
+    """
+    must, marks = least_cover(length), np.zeros(length, bool)
+    for p, s in zip(positions, shared):
+        if s:
+            marks[max(0, p - STRIDE + 1) : p + GRAM + STRIDE - 1] = True
+    alone = int(marks.sum())
+    own = sum(not s for s in shared)
+    if alone < must and own < len(positions):
+        return own - needed(must - alone), True
+    return len(positions) - needed(must), False
+
+
+def _hits(sent):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         flags = np.zeros(1 << 20, bool)
         flags[(known >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
@@ -162,44 +189,66 @@ def covered(item: np.ndarray, document: np.ndarray, offsets: list[int]) -> int:
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
 
-def _verified(known: dict[int, np.ndarray]):  # noqa: ANN202
+def _verified(known):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = known.value
         up, down = LEAST_COVER
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             for doc_id, text, candidates in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "candidates"))):
                 document = letter_codes([text])[0]
                 for candidate in candidates:
-                    item_id = candidate["item_id"]
-                    n = covered(known[item_id], document, candidate["offsets"])
-                    if n * down >= len(known[item_id]) * up:
-                        out.append((doc_id, item_id, n, len(known[item_id])))
+                    item = letters[candidate["item_id"]]
+                    n = covered(item, document, candidate["offsets"])
+                    if n * down >= len(item) * up:
+                        out.append((doc_id, candidate["item_id"], n, len(item)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["doc_id", "item_id", "covered", "item_chars"])
 
     return run
 
 
+def _shingle_rows(items: dict[int, np.ndarray]) -> list[tuple[int, int, int, bool, int, bool, int]]:
+    """``item_id, a_pos, gram, shared, room, own_only, needed`` of the shingles of all items of a block."""
+    of = {item_id: item_shingles(letters) for item_id, letters in items.items()}
+    holders: dict[int, int] = {}
+    for shingles in of.values():
+        for gram in {h for _, h in shingles}:
+            holders[gram] = holders.get(gram, 0) + 1
+    rows = []
+    for item_id, shingles in of.items():
+        shared = [holders[h] > SHARED_BY for _, h in shingles]
+        size = len(items[item_id])
+        room, own_only = prefix_room(size, [p for p, _ in shingles], shared) if shingles else (0, False)
+        rows += [(item_id, p, h, s, room, own_only, needed(least_cover(size))) for (p, h), s in zip(shingles, shared)]
+    return rows
+
+
 def _block(documents: DataFrame, items: dict[int, np.ndarray]) -> DataFrame | None:
     spark = documents.sparkSession
-    shingles = [(item_id, p, h, needed(len(letters))) for item_id, letters in items.items() for p, h in item_shingles(letters)]
+    shingles = _shingle_rows(items)
     if not shingles:
         return None
-    known = np.unique(np.array([h for _, _, h, _ in shingles], np.int64).view(np.uint64))
-    of_items = spark.createDataFrame(shingles, "item_id long, a_pos int, gram long, needed int")
+    known = spark.sparkContext.broadcast(np.unique(np.array([h for _, _, h, *_ in shingles], np.int64).view(np.uint64)))
+    letters = spark.sparkContext.broadcast(items)
+    # No larger than a block of items: at most a shingle for every STRIDE of its letters.
+    of_items = F.broadcast(spark.createDataFrame(shingles, "item_id long, a_pos int, gram long, shared boolean, room int, own_only boolean, needed int"))
     hits = checkpointed(documents.mapInArrow(_hits(known), "doc_id long, gram long, d_pos long"))
     frequency = hits.groupBy("gram").count()
     by_rarity = W.partitionBy("item_id").orderBy(F.coalesce("count", F.lit(0)), "a_pos")
-    ranked = of_items.join(frequency, "gram", "left").withColumn("nth", F.row_number().over(by_rarity)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("item_id")))
-    prefix = ranked.filter("nth <= n - needed + 1").select("item_id", "gram")
-    paired = hits.join(prefix, "gram").select("doc_id", "item_id").distinct()
-    placed = hits.join(of_items, "gram").join(paired, ["doc_id", "item_id"])
+    candidates_of = of_items.filter("not (shared and own_only)").join(frequency, "gram", "left")
+    prefix = candidates_of.withColumn("nth", F.row_number().over(by_rarity)).filter("nth <= room + 1").select("item_id", "gram")
+    # The items of a prefix are sent to the documents, so a shingle that stands in many of them is not one task.
+    paired = hits.select("doc_id", "gram").distinct().join(F.broadcast(prefix), "gram").select("doc_id", "item_id").distinct()
+    # Only the pairs found meet all shingles of their item, by document and shingle.
+    wanted = paired.join(of_items.select("item_id", "a_pos", "gram", "needed"), "item_id")
+    placed = wanted.join(hits, ["doc_id", "gram"])
     offsets = placed.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("d_pos") - F.col("a_pos")).alias("offsets"), F.count_distinct("a_pos").alias("held"), F.max("needed").alias("needed"))
-    candidates = offsets.filter("held >= needed").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offsets")).alias("candidates"))
-    candidates = checkpointed(candidates)
-    small = candidates.count() <= BROADCAST_CANDIDATES
-    chosen = documents.join(F.broadcast(candidates) if small else candidates, "doc_id")
-    return chosen.select("doc_id", "text", "candidates").mapInArrow(_verified(items), "doc_id long, item_id long, covered long, item_chars long")
+    candidates = checkpointed(offsets.filter("held >= needed").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offsets")).alias("candidates")))
+    each = F.aggregate("candidates", F.lit(64), lambda n, c: n + 32 + 8 * F.size(c["offsets"]))
+    size = candidates.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    chosen = documents.join(F.broadcast(candidates) if size <= BROADCAST_BYTES else candidates, "doc_id")
+    return chosen.select("doc_id", "text", "candidates").mapInArrow(_verified(letters), "doc_id long, item_id long, covered long, item_chars long")
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -212,7 +261,8 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text").filter("text <> ''")
     items = eval_items.select("item_id", "text").filter("text <> ''")
-    blocks = -(-items.count() // ITEMS_PER_BLOCK)
+    sizes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(-(-sizes[0] // ITEMS_PER_BLOCK), -(-sizes[1] // LETTERS_PER_BLOCK))
     found = []
     for k in range(blocks):
         mine = (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).collect()

@@ -22,8 +22,9 @@ CLASSES = 192
 WINDOW = 0.985
 #: Combinations kept for each leading class.
 COMBINATIONS = 10
-#: Largest capacity: the lengths that the driver gathers and sends to the tasks are no more than this.
-MOST_LENGTHS = 1 << 20
+#: Most lengths that the driver gathers and sends to the tasks for a pack. Above this capacity lengths are counted in
+#: units of several tokens, rounded up, so that what is gathered stays bounded and containers are never overfull.
+MOST_LENGTHS = 1 << 16
 #: Items that one salt of the ranking takes, roughly.
 ROWS_PER_SALT = 500_000
 
@@ -153,20 +154,21 @@ def pack(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
     spark = sized.sparkSession
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
-    if max(capacities.values()) > MOST_LENGTHS:
-        raise ValueError(f"capacities above {MOST_LENGTHS} need a coarser unit")
+    units = {name: -(-capacity // MOST_LENGTHS) for name, capacity in capacities.items()}
     sized = sized.select("doc_id", F.col("tokens").cast("long").alias("tokens")).filter("tokens > 0")
-    packs = F.array(*(F.struct(F.lit(k).alias("pack_name"), F.lit(v).cast("long").alias("capacity")) for k, v in capacities.items()))
+    packs = F.array(*(F.struct(F.lit(k).alias("pack_name"), F.lit(v).cast("long").alias("capacity"), F.lit(units[k]).cast("long").alias("unit")) for k, v in capacities.items()))
     by_pack = sized.select("doc_id", "tokens", F.explode(packs).alias("p")).select("doc_id", "tokens", "p.*")
     by_pack = by_pack.withColumn("n_pieces", F.ceil(F.col("tokens") / F.col("capacity")).cast("int"))
     last = F.col("tokens") - (F.col("n_pieces") - 1) * F.col("capacity")
-    # At most capacity rows of each pack: the lengths that single containers can hold.
-    histogram = by_pack.groupBy("pack_name", last.alias("length")).count().collect()
+    # Lengths in units; one that fills a container but for less than a unit counts as a full one.
+    rounded = F.least(F.ceil(last / F.col("unit")), F.floor(F.col("capacity") / F.col("unit"))).cast("long")
+    # At most MOST_LENGTHS rows of each pack.
+    histogram = by_pack.groupBy("pack_name", rounded.alias("length")).count().collect()
     classes, ranges, salts = [], [], {}
     for name, capacity in capacities.items():
         rows = sorted((r["length"], r["count"]) for r in histogram if r["pack_name"] == name)
         lengths, counts = np.array([a for a, _ in rows], np.int64), np.array([b for _, b in rows], np.int64)
-        found = recipe(lengths, counts, capacity)
+        found = recipe(lengths, counts, capacity // units[name])
         salts[name] = int(max(8, counts.sum() // ROWS_PER_SALT)) if rows else 1
         classes += [(name, int(n), int(c)) for n, c in zip(lengths, np.searchsorted(found.edges, lengths))] if rows else []
         at = dict.fromkeys(range(len(found.edges)), 0)
@@ -177,9 +179,11 @@ def pack(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
                 at[c] += count * n
             container += count
 
+    # Both are bounded: MOST_LENGTHS lengths and, for each pack, the parts of its patterns, of which every class has few.
     class_of = F.broadcast(spark.createDataFrame(classes, "pack_name string, length long, class int"))
-    range_of = F.broadcast(spark.createDataFrame(ranges, "pack_name string, class int, low long, high long, base long, count long"))
-    items = by_pack.withColumn("length", last).join(class_of, ["pack_name", "length"])
+    parts = spark.createDataFrame(ranges, "pack_name string, class int, low long, high long, base long, count long")
+    ranges_of = F.broadcast(parts.groupBy("pack_name", "class").agg(F.array_sort(F.collect_list(F.struct("low", "base", "count"))).alias("ranges")))
+    items = by_pack.withColumn("length", rounded).join(class_of, ["pack_name", "length"])
     salt = F.lit(1)
     for name, n in salts.items():
         salt = F.when(F.col("pack_name") == name, n).otherwise(salt)
@@ -190,8 +194,11 @@ def pack(sized: DataFrame, capacities: dict[str, int]) -> DataFrame:
     offsets = offsets.select("pack_name", "class", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = W.partitionBy("pack_name", "class", "salt").orderBy("doc_id")
     ranked = items.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["pack_name", "class", "salt"]).withColumn("rank", F.col("rank") + F.col("offset"))
-    placed = ranked.join(range_of, ["pack_name", "class"]).filter("rank >= low and rank < high")
-    end = placed.select("pack_name", (F.col("base") + (F.col("rank") - F.col("low")) % F.col("count")).alias("container_id"), "doc_id", (F.col("n_pieces") - 1).alias("piece_i"), "n_pieces", ((F.col("n_pieces") - 1) * F.col("capacity")).alias("first_token"), F.col("length").alias("tokens"))
+    # The ranges of a class follow each other from 0, so the last that begins at or before a rank holds it.
+    begun = F.size(F.filter("ranges", lambda r: r["low"] <= F.col("rank")))
+    placed = ranked.join(ranges_of, ["pack_name", "class"]).withColumn("r", F.element_at("ranges", begun))
+    container = F.col("r.base") + (F.col("rank") - F.col("r.low")) % F.col("r.count")
+    end = placed.select("pack_name", container.alias("container_id"), "doc_id", (F.col("n_pieces") - 1).alias("piece_i"), "n_pieces", ((F.col("n_pieces") - 1) * F.col("capacity")).alias("first_token"), last.alias("tokens"))
     # The full containers of a divided item hold nothing else and need no number.
     divided = by_pack.filter("n_pieces > 1").select("pack_name", "doc_id", "capacity", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 2)).alias("piece_i"))
     full = divided.select("pack_name", F.lit(None).cast("long").alias("container_id"), "doc_id", "piece_i", "n_pieces", (F.col("piece_i") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("tokens"))

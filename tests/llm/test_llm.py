@@ -339,6 +339,19 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), {"a": 10}).count() == 0
 
 
+def test_capacities_above_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_LENGTHS", 64)
+    sizes = [7 * k % 1003 + 1 for k in range(400)] + [1003, 1002, 2500]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long")
+    rows = packing.pack(df, {"a": 1003}).collect()
+    load: dict = {}
+    for r in rows:
+        if r["container_id"] is not None:
+            load[r["container_id"]] = load.get(r["container_id"], 0) + r["tokens"]
+    assert {k: sum(r["tokens"] for r in rows if r["doc_id"] == k) for k in range(len(sizes))} == dict(enumerate(sizes))
+    assert max(load.values()) <= 1003 and len(load) <= 1.12 * sum(sizes) / 1003
+
+
 # Problem 7.
 
 
@@ -374,16 +387,33 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked_items(ddf.limit(0), edf).count() == 0 and leakage.leaked_items(ddf, edf.limit(0)).count() == 0
 
 
-def test_blocks_and_shuffled_candidates(spark, monkeypatch):
+def test_blocks(spark, monkeypatch):
     text = " ".join(f"слово{chr(1072 + k % 32)}{chr(1072 + k // 2)}" for k in range(60))
     evals = spark.createDataFrame([(k, text[k * 7 :]) for k in range(5)], "item_id long, text string")
     docs = spark.createDataFrame([(1, text), (2, "другое")], "doc_id long, text string")
     wanted = collected(leakage.leaked_items(docs, evals).select("doc_id", "item_id"))
     monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 2)
-    monkeypatch.setattr(leakage, "BROADCAST_CANDIDATES", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 0)
     assert len(wanted) == 5 and collected(leakage.leaked_items(docs, evals).select("doc_id", "item_id")) == wanted
 
 
+def test_shared_prompt_does_not_grow_the_join(spark):
+    """Items of a suite that open with one prompt, and documents that all hold the prompt but one item each."""
+    pick = random.Random(6)
+    passage = lambda n: " ".join("".join(pick.choice("абвгдежзик") for _ in range(6)) for _ in range(n))
+    prompt = passage(13)
+    evals = [(k, f"{prompt} {passage(50)}") for k in range(30)]
+    docs = [(k, f"{passage(5)} {prompt} {passage(5)} {evals[k % 30][1][100:] if k % 3 == 0 else ''}") for k in range(90)] + [(500, prompt)]
+    items = dict(zip((k for k, _ in evals), (leakage.letter_codes([t])[0] for _, t in evals)))
+    rows = leakage._shingle_rows(items)
+    assert sum(r[3] for r in rows) >= 30 and all(r[5] for r in rows)
+    ddf, edf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(evals, "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked_items(ddf, edf).collect()) == sorted((k, k % 30) for k in range(0, 90, 3))
+    # Where the prompt alone covers enough of an item, its documents are found by it.
+    short = spark.createDataFrame([(k, f"{prompt} {passage(3)}") for k in range(12)], "item_id long, text string")
+    assert leakage.leaked_items(ddf, short).count() == 12 * 91
+
+
 # Problem 8.
 
 
