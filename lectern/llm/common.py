@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_items(spark: SparkSession, sf_dir: str, kinds: Iterable[str] = ("chunk", "paragraph")) -> DataFrame:
+def text_items(spark: SparkSession, sf_dir: str, kinds: Iterable[str] = ("chunk", "paragraph"), ends: bool = False) -> DataFrame:
     """``item_kind, item_id, p_i, text``: one row for each chunk, entry of ``paragraphs`` and title.
 
-    Chunks and titles have ``p_i`` -1. Null texts and null paragraph arrays give rows with null text or no row.
+    With ``ends``, ``ends_paragraph`` too: ``is_paragraph_end`` of chunks, true of all others. Chunks and titles have ``p_i`` -1. Null texts and null paragraph arrays give rows with null text or no row.
     """
     parts = []
     for kind in kinds:
         if kind == "chunk":
-            part = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("item_id"), F.lit(-1).alias("p_i"), "text")
+            part = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("item_id"), F.lit(-1).alias("p_i"), "text", F.col("is_paragraph_end").alias("ends_paragraph"))
         elif kind == "paragraph":
             part = table(spark, sf_dir, "chapters").select(F.col("chapter_id").alias("item_id"), F.posexplode("paragraphs").alias("p_i", "text"))
         elif kind == "title":
             part = table(spark, sf_dir, "chapters").select(F.col("chapter_id").alias("item_id"), F.lit(-1).alias("p_i"), F.col("title").alias("text"))
         else:
             raise ValueError(f"unknown kind of item: {kind}")
-        parts.append(spread(part).select(F.lit(kind).alias("item_kind"), "item_id", "p_i", "text"))
+        if kind != "chunk":
+            part = part.withColumn("ends_paragraph", F.lit(True))
+        more = ["ends_paragraph"] if ends else []
+        parts.append(spread(part.select("item_id", "p_i", "text", *more)).select(F.lit(kind).alias("item_kind"), "item_id", "p_i", "text", *more))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -52,19 +54,16 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors do not lose it.
 
-    The folder is that of ``spark.checkpoint.dir``. Only where no folder is set, as in tests, one below the
-    warehouse is used.
+    The folder is that of ``spark.checkpoint.dir``, which a cluster must name. Where it is unset a session on this
+    machine alone, as in tests, gets a folder below its warehouse; another session raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(conf or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def batches_of(batches: Iterator[pa.RecordBatch], function) -> Iterator[pa.RecordBatch]:
-    """Applies ``function(batch) -> batch`` and leaves out empty input batches."""
-    for batch in batches:
-        if batch.num_rows:
-            yield function(batch)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import LANGUAGES
 from lectern.llm.normalform import tables
 
-#: Bound of the labelled sample and of the segments of each language taken from it.
-SAMPLE_ROWS, SEGMENTS_PER_LANGUAGE = 4000, 900
+#: Bounds of the labelled sample, in rows and characters of each, and of the segments of each language taken from it.
+SAMPLE_ROWS, SAMPLE_CHARS, SEGMENTS_PER_LANGUAGE = 4000, 20_000, 900
 CLUSTERS = 2
 BUCKETS = 1 << 16
 #: A segment counts as running text from this weight on: a letter weighs one, a syllable or word sign three.
@@ -295,12 +295,13 @@ def label_code(label: Column) -> Column:
     return F.try_element_at(spellings, bare)
 
 
-def labelled_sample(documents: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled documents, whole, spread over the table by a hash of their id."""
-    share = max(1, documents.count() // rows)
+def labelled_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """The ``rows`` labelled documents of at most ``chars`` characters with the least hash of their id: at most
+    ``rows * chars`` characters reach the driver, and the sample does not depend on files or their order."""
     code = label_code(F.col("lang"))
-    sample = documents.filter((F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) & code.isNotNull() & (F.length("text") > 0))
-    return [(r[0], r[1]) for r in sample.select(code, "text").limit(rows).collect()]
+    known = documents.filter(code.isNotNull() & F.length("text").between(1, chars))
+    sample = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", code.alias("code"), "text").orderBy("h", "doc_id", "text").limit(rows)
+    return [(r["code"], r["text"]) for r in sample.select("code", "text").collect()]
 
 
 def judge(model: Model, texts: Sequence[str]) -> tuple[Segments, list[str | None], np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ def _limits(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every item of a kind that has a limit."""
-    return splitting.split_items(text_items(spark, sf_dir), _limits(spark, sf_dir))
+    return splitting.split_items(text_items(spark, sf_dir, ends=True), _limits(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

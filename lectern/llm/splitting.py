@@ -8,11 +8,11 @@ by the overlap, moved forward to the start of a word where there is one.
 from __future__ import annotations
 
 import re
-import unicodedata as U
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +20,14 @@ from lectern.llm.sentences import sentence_starts
 
 #: Strengths of a cut: inside a grapheme, between any characters, after a word, clause, sentence, line, paragraph.
 NONE, ANY, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
+NAMES = ("inside", "character", "word", "clause", "sentence", "line", "paragraph")
+#: Where the last piece ends that does not end a paragraph.
+ITEM_END = "item"
 #: A piece is at least this share of max_chars long, so that an early strong boundary makes no tiny piece.
 LEAST_SHARE = 0.5
 
+#: A character as readers see it, with its marks, joined signs and modifiers.
+_GRAPHEME = regex.compile(r"\X")
 _WORD_END = re.compile(r"\s+")
 _CLAUSE_END = re.compile(r"[,;:，、；：—–](?:[\"'”’»)\]」』）]*)\s*")
 _LINE_END = re.compile(r"[^\S\n]*\n\s*")
@@ -31,10 +36,8 @@ _LINE_END = re.compile(r"[^\S\n]*\n\s*")
 def boundary_strengths(text: str) -> np.ndarray:
     """``out[i]``: the strength of a cut between the characters i - 1 and i."""
     size = len(text)
-    out = np.full(size + 1, ANY, np.int8)
-    for k, char in enumerate(text):
-        if char > "̀" and (U.category(char)[0] == "M" or char in "‌‍⁠­"):
-            out[k] = NONE
+    out = np.full(size + 1, NONE, np.int8)
+    out[[match.start() for match in _GRAPHEME.finditer(text)]] = ANY
     for match in _WORD_END.finditer(text):
         out[match.end()] = WORD
     for match in _CLAUSE_END.finditer(text):
@@ -107,9 +110,11 @@ def cut(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int]]:
 def _pieces(max_chars: dict[str, int], overlap: dict[str, int]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, number, starts, ends, texts, counts = [], [], [], [], [], []
-            for k, (kind, text) in enumerate(zip(batch.column("item_kind").to_pylist(), batch.column("text").to_pylist())):
+            rows, number, starts, ends, texts, counts, names = [], [], [], [], [], [], []
+            for k, (kind, text, whole) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_kind", "text", "ends_paragraph")))):
                 found = cut(text, max_chars[kind], overlap[kind])
+                strengths = boundary_strengths(text)
+                names += [NAMES[strengths[b]] for _, b in found[:-1]] + [NAMES[PARAGRAPH] if whole else ITEM_END]
                 for n, (a, b) in enumerate(found):
                     rows.append(k)
                     number.append(n)
@@ -119,25 +124,28 @@ def _pieces(max_chars: dict[str, int], overlap: dict[str, int]):  # noqa: ANN202
                     counts.append(len(found))
             kept = batch.select(["item_kind", "item_id", "p_i"]).take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, *(pa.array(x, pa.int32()) for x in (number, starts, ends, counts)), pa.array(texts, pa.string())],
-                names=["item_kind", "item_id", "p_i", "piece_i", "start", "end", "n_pieces", "piece"],
+                [*kept.columns, *(pa.array(x, pa.int32()) for x in (number, starts, ends, counts)), pa.array(names, pa.string()), pa.array(texts, pa.string())],
+                names=["item_kind", "item_id", "p_i", "piece_i", "start", "end", "n_pieces", "cut_at", "piece"],
             )
 
     return run
 
 
 def split_items(items: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
-    """``item_kind, item_id, p_i, piece_i, start, end, n_pieces, piece`` for the items of the kinds in ``limits``.
+    """``item_kind, item_id, p_i, piece_i, start, end, n_pieces, cut_at, piece`` for the items of the kinds in ``limits``.
 
-    ``limits``: kind to (max_chars, overlap_chars). Items within their limit are one piece and never leave the JVM.
+    ``cut_at`` names the boundary at the end of the piece. The last piece ends a ``paragraph`` where the column
+    ``ends_paragraph`` of its item is true (``is_paragraph_end`` of a chunk), else it ends only the ``item``; so do
+    those of items without that column or with null in it. ``limits``: kind to (max_chars, overlap_chars). Items within their limit are one piece and never leave the JVM.
     Null and empty texts have no piece. Kinds without a limit are left out.
     """
-    known = items.select("item_kind", "item_id", "p_i", "text").filter(F.col("text") != "").filter(F.col("item_kind").isin(*limits))
+    whole = F.coalesce("ends_paragraph", F.lit(False)) if "ends_paragraph" in items.columns else F.lit(False)
+    known = items.select("item_kind", "item_id", "p_i", "text", whole.alias("ends_paragraph")).filter(F.col("text") != "").filter(F.col("item_kind").isin(*limits))
     most = F.lit(0)
     for kind, (limit, _) in limits.items():
         most = F.when(F.col("item_kind") == kind, limit).otherwise(most)
     size = F.length("text")
-    short = known.filter(size <= most).select("item_kind", "item_id", "p_i", F.lit(0).alias("piece_i"), F.lit(0).alias("start"), size.alias("end"), F.lit(1).alias("n_pieces"), F.col("text").alias("piece"))
-    schema = "item_kind string, item_id long, p_i int, piece_i int, start int, end int, n_pieces int, piece string"
+    short = known.filter(size <= most).select("item_kind", "item_id", "p_i", F.lit(0).alias("piece_i"), F.lit(0).alias("start"), size.alias("end"), F.lit(1).alias("n_pieces"), F.when(F.col("ends_paragraph"), NAMES[PARAGRAPH]).otherwise(ITEM_END).alias("cut_at"), F.col("text").alias("piece"))
+    schema = "item_kind string, item_id long, p_i int, piece_i int, start int, end int, n_pieces int, cut_at string, piece string"
     long = known.filter(size > most).mapInArrow(_pieces({k: v[0] for k, v in limits.items()}, {k: v[1] for k, v in limits.items()}), schema)
     return short.unionByName(long)

@@ -120,6 +120,11 @@ def test_split_items(spark):
     out = splitting.split_items(items(spark, texts).unionByName(items(spark, ["free" * 9], "other")), {"chunk": (30, 5)})
     assert sorted({(r["item_id"], r["n_pieces"]) for r in out.collect()}) == [(0, 1), (3, 3), (4, 2)]
     assert [r["piece"] for r in out.filter("item_id = 3").orderBy("piece_i").collect()] == ["A first sentence here. ", "Then a second one, ", "one, with a clause."]
+    assert [r["cut_at"] for r in out.filter("item_id = 3").orderBy("piece_i").collect()] == ["sentence", "clause", "item"]
+    ends = items(spark, ["a b", "a b", "c " * 20]).withColumn("ends_paragraph", F.expr("case item_id when 0 then true when 2 then true end"))
+    assert [(r[1], r[3], r[7]) for r in collected(splitting.split_items(ends, {"chunk": (30, 5)}))] == [(0, 0, "paragraph"), (1, 0, "item"), (2, 0, "word"), (2, 1, "paragraph")]
+    family = "👨‍👩‍👧" * 9
+    assert all(family[a:b].startswith("👨") and family[a:b].endswith("👧") for a, b in splitting.cut(family, 12, 0))
     with pytest.raises(ValueError):
         splitting.cut("abc", 2, 2)
 
