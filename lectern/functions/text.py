@@ -86,13 +86,18 @@ def flatten_title(nav_path: Column) -> Column:
 
 def latin_share(text: Column) -> Column:
     """Latin letters among Latin and Cyrillic ones; 0 where there are none of either."""
-    latin, cyrillic = F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit("[А-Яа-яЁё]"))
+    # What is left without the letters tells how many there were; no list of matches is made.
+    without = lambda letters: F.length(text) - F.length(F.regexp_replace(text, f"[{letters}]++", ""))
+    latin, cyrillic = without("A-Za-z"), without("А-Яа-яЁё")
     return F.when(text.isNotNull(), F.coalesce(F.try_divide(latin, latin + cyrillic), F.lit(0.0)))
 
 
+ENGLISH_SHARE = 0.9
+
+
 def is_english(text: Column) -> Column:
     """Whether at least nine tenths of the letters are Latin."""
-    return latin_share(text) >= 0.9
+    return latin_share(text) >= ENGLISH_SHARE
 
 
 def romanize(text: Column) -> Column:

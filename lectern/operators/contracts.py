@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import arrays
+from lectern.functions import arrays, stress
+from lectern.functions import text as T
 from lectern.operators import structure
 
 SEED_STEP = 1000
@@ -72,6 +73,77 @@ def mark(texts: DataFrame, factory: Callable[[], Callable[[str], str]]) -> DataF
     return _mapped(texts, ["text"], "marked string", factory, row)
 
 
+def mark_stress(texts: DataFrame, factory: Callable[[], tuple[Callable[[str], str], Callable[[str], str]]]) -> DataFrame:
+    """Adds ``marked`` to rows of ``text``: :func:`stress.marked` with a tagger of texts and a guesser of words."""
+
+    def row(models: tuple, text: str | None) -> tuple:
+        return (None if text is None else stress.marked(text, *models),)
+
+    return _mapped(texts, ["text"], "marked string", factory, row)
+
+
+def mark_acute(texts: DataFrame, factory: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """Adds ``marked`` to rows of ``text``: acutes only where they tell something, those set by hand kept."""
+
+    def row(model: Callable, text: str | None) -> tuple:
+        return (None if text is None else stress.keep_hand_marks(text, model),)
+
+    found = _mapped(texts, ["text"], "marked string", factory, row)
+    return found.withColumn("marked", T.to_acute_sparse(F.col("marked")))
+
+
+#: What a phonemiser is given: words with marks and hyphens, and the punctuation that carries a pause.
+_PHONEME_TOKEN = r"(?iu)(\+?[а-яё][+а-яё]*(?:-[+а-яё]+)*|\.\.\.|[—–]|-(?=\s)|[,.!?;:…])"
+
+
+def phoneme_tokens(text: str | F.Column) -> F.Column:
+    """The tokens of a text that are pronounced or carry a pause, in order; an ellipsis is one, dashes are one dash."""
+    tokens = F.regexp_extract_all(text, F.lit(_PHONEME_TOKEN), F.lit(1))
+    return F.transform(tokens, lambda t: F.when(t == "...", "…").when(t.isin("–", "-"), "—").otherwise(t))
+
+
+def phonemise(texts: DataFrame, factory: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """Adds ``phonemes`` to rows of ``text``: the sounds of each word by the model, pauses as they are, with spaces
+    between words. Null stays null; a word the model cannot say is left out."""
+    kept = texts.withColumn("_tokens", phoneme_tokens(F.col("text")))
+
+    def row(model: Callable, tokens: list | None) -> tuple:
+        if tokens is None:
+            return (None,)
+        out = ""
+        for token in tokens:
+            if token in ",.!?;:…—":
+                out += token
+            elif said := model(token):
+                out += f" {said}"
+        return (out.strip(),)
+
+    return _mapped(kept, ["_tokens"], "phonemes string", factory, row).drop("_tokens")
+
+
+def assemble(pieces: DataFrame, group: str, order: str, sample_rate: int) -> DataFrame:
+    """``group, audio, seconds, clamped`` and the figures of :func:`arrays.normalised`: the pieces ``audio, pause_ms`` of
+    each group in order, each trimmed and followed by its pause, between lead and tail, at the target level.
+
+    Pieces are prepared one by one, by all tasks; only joining them is by group, and a group, a chapter, is one array.
+    Null and silent pieces have no pause either. ``order`` must be unique within a group.
+    """
+
+    def row(_model: None, audio: list | None) -> tuple:
+        x = np.asarray(audio if audio is not None else [], float)
+        top, limit = np.abs(x).max(initial=0), arrays.db_to_lin(arrays.CEILING)
+        x, cut = arrays.clamp_silence(arrays.trim_silence(x * (limit / top) if top > limit else x, sample_rate), sample_rate)
+        return x.tolist(), cut
+
+    made = _mapped(pieces.select(group, order, "audio", "pause_ms"), ["audio"], "piece array<double>, cut int", lambda: None, row)
+    quiet = lambda ms: arrays.silence(ms, F.lit(sample_rate))
+    part = F.when(F.size("piece") > 0, F.concat("piece", quiet(F.coalesce("pause_ms", F.lit(0))))).otherwise(F.array().cast("array<double>"))
+    joined = made.groupBy(group).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))), lambda x: x["p"])).alias("parts"), F.sum("cut").alias("clamped"))
+    whole = joined.select(group, F.concat(quiet(F.lit(arrays.LEAD_MS)), "parts", quiet(F.lit(arrays.TAIL_MS))).alias("whole"), "clamped")
+    found = whole.withColumn("n", arrays.normalised(F.col("whole")))
+    return found.select(group, (F.size("whole") / sample_rate).alias("seconds"), "clamped", "n.*")
+
+
 def edit(chunks: DataFrame, group: str, order: str, factory: Callable[[], Callable[[list[tuple[int, str]]], list[tuple[int, str, str | None]]]], size: int = 20) -> DataFrame:
     """``group, order, edit_i, text, pause, failed`` of an editor that takes batches of ``(order, text)``.
 

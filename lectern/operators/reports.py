@@ -115,10 +115,10 @@ def container_problems(probe: Column) -> Column:
 def train_val_split(rows: DataFrame, key: str, val_rows: int, seed: int) -> DataFrame:
     """Adds ``part``: the ``val_rows`` rows with the least hash are ``val``, the others ``train``.
 
-    The threshold comes from a bounded top-k, so nothing is ranked globally; ties are broken by the key, which must be
+    The rows come from a bounded top-k, so nothing is ranked globally; ties are broken by the key, which must be
     unique. Not the permutation of any other generator.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    hashed = rows.drop("part").withColumn("_h", F.md5(F.concat_ws("/", F.lit(seed), F.col(key))))
     chosen = hashed.orderBy("_h", key).limit(val_rows).select(key, F.lit("val").alias("_part"))
     return hashed.drop("_h").join(chosen, key, "left").withColumn("part", F.coalesce("_part", F.lit("train"))).drop("_part")
 
@@ -132,12 +132,23 @@ def longest_runs(rows: DataFrame, group: str, order: Sequence[str], flag: Column
     return sizes.groupBy(group).agg(F.coalesce(F.max(F.when(F.col("_f"), F.col("count"))), F.lit(0)).alias("longest"))
 
 
-def chapter_report(chunks: DataFrame, checks: DataFrame) -> DataFrame:
-    """By book and chapter: chunks, checks beyond the first of a chunk, and chunks whose checks all failed."""
+def chapter_report(chunks: DataFrame, checks: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """By book and chapter: chunks, checks beyond the first of a chunk, and chunks whose checks all failed.
+
+    With ``levels`` (``chunk_id, samples, squares, peak``: how many samples a chunk has, the sum of their squares and the
+    highest), ``rms`` and ``peak`` of the chapter in dB too, null where it has no samples.
+    """
     by_chunk = checks.groupBy("chunk_id").agg(F.count_distinct("check_id").alias("checks"), F.bool_or("ok").alias("passed"))
     joined = chunks.join(by_chunk, "chunk_id", "left")
+    more = []
+    if levels is not None:
+        joined = joined.join(levels.select("chunk_id", "samples", "squares", F.col("peak").alias("top")), "chunk_id", "left")
+        decibels = lambda x: 20 * F.log10(F.greatest(x, F.lit(1e-12)))
+        more = [decibels(F.sqrt(F.try_divide(F.sum("squares"), F.sum("samples")))).alias("rms"), decibels(F.max("top")).alias("peak")]
+        more = [F.when(F.sum("samples") > 0, c).alias(n) for c, n in zip(more, ("rms", "peak"))]
     return joined.groupBy("book_id", "chapter_index").agg(
         F.count(F.lit(1)).alias("chunks"),
         F.coalesce(F.sum(F.greatest(F.col("checks") - 1, F.lit(0))), F.lit(0)).alias("retries"),
         F.count_if(~F.col("passed")).alias("flagged"),
+        *more,
     )

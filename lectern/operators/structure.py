@@ -138,7 +138,8 @@ def edit_cache(judged: DataFrame, chunks: DataFrame, group: str, order: str, key
     """
     digests = ordered_digest(chunks, group, order).join(chunks.groupBy(group).agg(F.count(F.lit(1)).alias("chunks")), group)
     place = chunks.select(*keys, F.col(group).alias("_group"), F.col(order).alias("i"))
-    own = judged.select(*keys, "text", "pause", "outcome").join(place, keys).withColumnRenamed("_group", group)
+    own = judged.select(*keys, "text", "pause", "outcome").join(place, keys)
+    own = own.drop("_group") if group in keys else own.withColumnRenamed("_group", group)
     pick = lambda outcome, *fields: F.array_sort(F.collect_list(F.when(F.col("outcome") == outcome, F.struct("i", *fields))))
     found = own.groupBy(group).agg(pick("accepted", "text", "pause").alias("edits"), pick("rejected", "text").alias("rejected"))
     joined = digests.join(found, group, "left")

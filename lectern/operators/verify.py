@@ -33,18 +33,23 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     return plain.mapInPandas(run, f"{schema}, ok boolean, cer double, reasons array<string>")
 
 
-def cer_ascii(pairs: DataFrame) -> DataFrame:
+def cer_simple(pairs: DataFrame) -> DataFrame:
     """Adds ``cer`` to ``text, heard`` with built-in expressions; exact where canonical forms are (see canon_simple)."""
     return pairs.withColumn("cer", compare.cer_column(compare.canon_simple(F.coalesce("text", F.lit(""))), compare.canon_simple(F.coalesce("heard", F.lit("")))))
 
 
 def missing_words(pairs: DataFrame) -> DataFrame:
-    """Adds ``missing``: words of ``text`` with no close word in ``heard``, in order, with built-in expressions."""
-    reference = F.filter(F.split(compare.canon_simple(F.coalesce("text", F.lit(""))), " "), lambda w: F.length(w) >= compare.LONG_WORD)
-    heard = F.filter(F.split(compare.canon_simple(F.coalesce("heard", F.lit(""))), " "), lambda w: F.length(w) > 0)
-    joined = F.array_join(heard, "")
-    lost = F.filter(reference, lambda w: ~(F.exists(heard, lambda h: compare.close_column(w, h)) | ((F.length(w) >= 5) & F.contains(joined, w))))
-    return pairs.withColumn("missing", lost)
+    """Adds ``missing``: words of ``text`` with no close word in ``heard``, in order, with built-in expressions.
+
+    Null counts as empty on both sides. Both lists of words are made once for a row, before they are compared.
+    """
+    words = lambda c, least: F.filter(F.split(compare.canon_simple(F.coalesce(c, F.lit(""))), " "), lambda w: F.length(w) >= least)
+    split = pairs.drop("missing").withColumn("_w", F.array(F.struct(words("text", compare.LONG_WORD).alias("a"), words("heard", 1).alias("b"))))
+    joined = F.transform("_w", lambda p: F.struct(F.array_except(p["a"], p["b"]).alias("open"), p["a"].alias("a"), p["b"].alias("b"), F.array_join(p["b"], "").alias("j")))
+    # Words that were heard as they are need no comparison.
+    lost = lambda p: F.filter(p["open"], lambda w: ~(F.exists(p["b"], lambda h: compare.close_column(w, h)) | ((F.length(w) >= 5) & F.contains(p["j"], w))))
+    found = F.transform(joined, lambda p: F.transform(F.array(F.struct(p["a"].alias("a"), lost(p).alias("l"))), lambda q: F.filter(q["a"], lambda w: F.array_contains(q["l"], w)))[0])
+    return split.withColumn("missing", found[0]).drop("_w")
 
 
 def _said(heard: pd.Series) -> list[str | None]:
@@ -99,12 +104,18 @@ def rate_calibration(rendered: DataFrame, group: str, order: list[str]) -> DataF
     """Adds ``rate``: what is known of the speaking rate before each row of ``chars, seconds``, by group in order.
 
     The median of the last ``RATE_WINDOW`` qualifying rows (at least 40 characters and 0.05 seconds), or the default
-    while fewer than ``RATE_LEAST`` have been seen. The window is over the qualifying rows alone; the others get the
-    value of the next one. ``order`` must be unique within a group.
+    while fewer than ``RATE_LEAST`` have been seen. The window is over the qualifying rows alone; every other row has the
+    value that the next qualifying one has. ``order`` must be unique within a group. A column ``rate`` is replaced.
     """
-    fits = (F.col("seconds") > 0.05) & (F.col("chars") >= 40)
-    rows = rendered.withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    good = rows.filter("_fits").withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    before = W.partitionBy(group).orderBy("_n").rowsBetween(-RATE_WINDOW, -1)
-    rated = good.withColumn("rate", F.when(F.col("_n") > RATE_LEAST, F.expr("percentile(chars / seconds, 0.5)").over(before)).otherwise(RATE_DEFAULT))
-    return rated.drop("_fits", "_n")
+    fits = F.coalesce((F.col("seconds") > 0.05) & (F.col("chars") >= 40), F.lit(False))
+    by = W.partitionBy(group).orderBy(*order)
+    # The number of qualifying rows before a row: rows between two qualifying ones share it, with the second of them.
+    rows = rendered.withColumn("_fits", fits).withColumn("_n", F.count_if("_fits").over(by.rowsBetween(W.unboundedPreceding, -1)))
+    good = rows.filter("_fits").select(*(F.col(c).alias(f"_{c}") for c in (group, "chars", "seconds")), F.col("_n").alias("_k"))
+    before = W.partitionBy(f"_{group}").orderBy("_k").rangeBetween(-RATE_WINDOW, -1)
+    # One row more than there are qualifying ones, for what comes after the last of them.
+    end = good.groupBy(f"_{group}").agg((F.max("_k") + 1).alias("_k")).select(f"_{group}", F.lit(None).cast(good.schema["_chars"].dataType).alias("_chars"), F.lit(None).cast(good.schema["_seconds"].dataType).alias("_seconds"), "_k")
+    median = F.expr("percentile(_chars / _seconds, 0.5)").over(before)
+    rated = good.unionByName(end).select(f"_{group}", "_k", F.when(F.col("_k") >= RATE_LEAST, median).otherwise(RATE_DEFAULT).alias("rate"))
+    joined = rows.drop("rate").join(rated, F.col(group).eqNullSafe(F.col(f"_{group}")) & (F.col("_n") == F.col("_k")), "left")
+    return joined.withColumn("rate", F.coalesce("rate", F.lit(RATE_DEFAULT))).drop("_fits", "_n", "_k", f"_{group}")

@@ -14,9 +14,12 @@ from lectern.functions import compare as C
 from lectern.functions import narration as N
 from lectern.functions import stress as S
 from lectern.functions import text as T
+from lectern.functions import unicode as U
+from lectern.operators import contracts
 from lectern.operators import reports as R
 from lectern.operators import structure as G
 from lectern.operators import verify as V
+from lectern.plans import literals, sources
 from lectern.session import spread
 from lectern.sources import files
 from lectern.streaming import events as E
@@ -49,10 +52,6 @@ def heard(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> Da
     return checks.join(chunks, "chunk_id").withColumnRenamed("transcript", "heard")
 
 
-def ascii_heard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heard(spark, sf_dir).filter(F.col("text").rlike("^[ -~]+$") & F.col("heard").rlike("^[ -~]+$"))
-
-
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`heard` with the language whose rules apply."""
     return heard(spark, sf_dir).withColumn("lang", F.when(F.col("text").rlike("[а-я]"), "ru").otherwise("en"))
@@ -82,7 +81,7 @@ def inspect_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(spark, sf_dir).select("chapter_id", "p_i", T.clean_inline(F.col("text")).alias("clean"))
+    return paragraphs(spark, sf_dir).select("chapter_id", "p_i", T.clean_inline(U.normalized(F.col("text"), "NFC")).alias("clean"))
 
 
 @query
@@ -93,8 +92,9 @@ def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unlisted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, chapters = read(spark, sf_dir, "documents").filter("book_id is not null"), read(spark, sf_dir, "chapters")
-    return G.unlisted_text(documents, chapters, "book_id")
+    """Sources of documents none of whose texts belongs to a book; a document without a book is listed nowhere."""
+    documents = read(spark, sf_dir, "documents").withColumn("file", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), "kind"))
+    return G.unlisted_text(documents, documents.filter("book_id is not null and kind <> 'verse'"), "file")
 
 
 @query
@@ -115,13 +115,13 @@ def chapter_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", T.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.slug(U.normalized(F.concat_ws(" / ", "p_name", "p_type"), "NFKD")).alias("slug"))
 
 
 @query
 def latin_share_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = T.latin_share(F.col("text"))
-    rows = read(spark, sf_dir, "chunks").filter("text is not null").select(F.floor(share * 10).cast("long").alias("band"), T.is_english(F.col("text")).alias("english"))
+    shares = read(spark, sf_dir, "chunks").filter("text is not null").select(T.latin_share(F.col("text")).alias("share"))
+    rows = shares.select(F.floor(F.col("share") * 10).cast("long").alias("band"), (F.col("share") >= T.ENGLISH_SHARE).alias("english"))
     return rows.groupBy("band", "english").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -171,13 +171,7 @@ def spelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def abbreviations_en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = read(spark, sf_dir, "documents").filter("lang = 'en' and text is not null")
-    return english.select("doc_id", T.expand_abbreviations(F.col("text"), N.ABBREVIATIONS["en"], False).alias("text"))
-
-
-@query
-def abbreviations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang, text = F.lower("lang"), F.col("text")
     rows = read(spark, sf_dir, "documents").filter(lang.isin("en", "ru") & text.isNotNull())
     full = F.when(lang == "ru", T.expand_abbreviations(text, N.ABBREVIATIONS["ru"], True)).otherwise(T.expand_abbreviations(text, N.ABBREVIATIONS["en"], False))
@@ -238,7 +232,9 @@ def acute_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sparse_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.regexp_replace("text", "(?U)(\\b[^\\Waeiouаеёиоуыэюя]*)([аеиоуыэюя])", r"$1+$2")
+    consonants = "бвгджзйклмнпрстфхцчшщъь"
+    # A mark before the first vowel of a word, as a tagger would set one.
+    marked = F.regexp_replace("text", f"(^|[^\\p{{L}}\\p{{N}}_])([{consonants}{consonants.upper()}]*)([аеиоуыэюя])", "$1$2+$3")
     return read(spark, sf_dir, "chunks").filter("text is not null").select("chunk_id", T.to_acute_sparse(marked).alias("text"), T.dash_to_ellipsis(F.col("text")).alias("paused"), F.size(F.map_keys(S.positions(marked))).alias("words"))
 
 
@@ -262,31 +258,22 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(C.stem_column(F.col("word")).alias("stem")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("forms"))
 
 
-def neighbours(spark: SparkSession, sf_dir: str, wanted: Callable[[Column], Column]) -> DataFrame:
-    """Pairs of words that follow each other among the ``wanted`` ones of a chunk, and whether they are close."""
-    rows = read(spark, sf_dir, "chunks").select(F.filter(F.split(C.canon_simple(F.col("text")), " "), wanted).alias("w"))
-    pairs = rows.select(F.explode(F.zip_with("w", F.slice("w", 2, 1 << 20), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("p.*").filter("a is not null and b is not null").distinct()
-    return pairs.select("a", "b", C.close_column(F.col("a"), F.col("b")).alias("close"))
-
-
 @query
 def close_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark, sf_dir, lambda w: w.rlike("^[a-z]+$"))
-
-
-@query
-def close_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark, sf_dir, lambda w: w != "")
+    """Pairs of words that follow each other in a chunk, of any script, and whether they are close."""
+    rows = read(spark, sf_dir, "chunks").select(F.filter(F.split(C.canon_simple(F.col("text")), " "), lambda w: w != "").alias("w"))
+    pairs = rows.select(F.explode(F.zip_with("w", F.slice("w", 2, 1 << 20), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("p.*").filter("a is not null and b is not null").distinct()
+    return pairs.select("a", "b", C.close_column(F.col("a"), F.col("b")).alias("close"))
 
 
 @query
-def cer_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.cer_ascii(ascii_heard(spark, sf_dir).drop("cer")).select("check_id", F.round("cer", 6).alias("cer"))
+def cer_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.cer_simple(heard(spark, sf_dir).drop("cer")).select("check_id", F.round("cer", 6).alias("cer"))
 
 
 @query
 def missing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.missing_words(ascii_heard(spark, sf_dir)).select("check_id", F.array_join("missing", " ").alias("missing"))
+    return V.missing_words(heard(spark, sf_dir)).select("check_id", F.array_join("missing", " ").alias("missing"))
 
 
 @query
@@ -318,7 +305,7 @@ def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kept_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.kept_attempt(heard(spark, sf_dir), retries=1)
+    return V.kept_attempt(heard(spark, sf_dir))
 
 
 @query
@@ -336,6 +323,32 @@ def signal_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", F.round(A.peak(audio), 6).alias("peak"), F.round(A.rms(audio), 6).alias("rms"), F.round(A.rms_dbfs(audio), 4).alias("dbfs"), F.round(A.level_gain(audio), 4).alias("gain"))
 
 
+@query
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors(spark, sf_dir).select("vec_id", A.normalised(F.col("audio")).alias("n"))
+    figures = [F.round(F.col(f"n.{c}"), 4).alias(c) for c in ("rms_before", "gain", "rms_after", "peak_after", "noise_floor")]
+    return found.select("vec_id", *figures, F.round(A.peak(F.col("n.audio")), 6).alias("peak"))
+
+
+@query
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors joined into arrays of ten, each with a pause of its own."""
+    pieces = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).cast("long").alias("part"), "vec_id", F.when(F.col("vec_id") % 7 != 3, F.col("audio")).alias("audio"), (F.col("vec_id") % 5 * 10).cast("int").alias("pause_ms"))
+    found = contracts.assemble(pieces, "part", "vec_id", 1000)
+    return found.select("part", F.round("seconds", 6).alias("seconds"), "clamped", F.round("rms_after", 4).alias("rms_after"), F.round("gain", 4).alias("gain"))
+
+
+@query
+def phoneme_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "chunks").filter("text is not null").select("chunk_id", F.array_join(contracts.phoneme_tokens("text"), " ").alias("tokens"))
+
+
+@query
+def usable_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = (F.col("vec_id") % 30 + 1).cast("int")
+    return vectors(spark, sf_dir, True).select("vec_id", A.usable(F.col("audio"), rate).alias("usable"), A.usable(A.sanitise(F.col("audio"))["audio"], rate).alias("clean"))
+
+
 @query
 def sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = A.sanitise(F.col("audio"))
@@ -384,11 +397,11 @@ def longest_quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Edits, tags, keys.
 
 
-def edits(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Made-up edits: of two thirds of the chunks, as the SQL has them, or of every one."""
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up edit of every chunk, of one of four kinds."""
     kinds = F.when(F.col("chunk_id") % 4 == 0, F.replace("text", F.lit("."), F.lit(" !"))).when(F.col("chunk_id") % 4 == 1, F.concat("text", F.lit(" x"))).when(F.col("chunk_id") % 4 == 2, F.lit("")).otherwise(F.col("text"))
     pause = F.when(F.col("chunk_id") % 3 == 0, "long").when(F.col("chunk_id") % 3 == 1, "short")
-    return read(spark, sf_dir, "chunks").filter("true" if every else "chunk_id % 2 = 0 or chunk_id % 3 = 0").select("chunk_id", F.col("chunk_id").alias("edit_i"), kinds.alias("text"), pause.alias("pause"))
+    return read(spark, sf_dir, "chunks").select("chunk_id", F.col("chunk_id").alias("edit_i"), kinds.alias("text"), pause.alias("pause"))
 
 
 @query
@@ -401,16 +414,6 @@ def judged_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.judge_edits(read(spark, sf_dir, "chunks"), edits(spark, sf_dir), ["chunk_id"]).select("chunk_id", "outcome")
 
 
-@query
-def applied_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.apply_edits(read(spark, sf_dir, "chunks").select("chunk_id", "text", "pause_ms"), edits(spark, sf_dir, True), ["chunk_id"])
-
-
-@query
-def judged_edits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.judge_edits(read(spark, sf_dir, "chunks"), edits(spark, sf_dir, True), ["chunk_id"]).select("chunk_id", "outcome")
-
-
 @query
 def delivery_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = read(spark, sf_dir, "chunks").filter("text is not null").select("chunk_id", T.delivery_tags(F.col("text")).alias("tags"))
@@ -506,13 +509,18 @@ def chapter_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["book_id", "chapter_index"]
-    return R.missing_rows(read(spark, sf_dir, "chapters").select(*keys).distinct(), read(spark, sf_dir, "chunks"), keys)
+    """Chunks without a check that passed."""
+    chunks, checks = read(spark, sf_dir, "chunks").select("chunk_id", "book_id"), read(spark, sf_dir, "checks").filter("ok")
+    return R.missing_rows(chunks, checks, ["chunk_id"])
 
 
 @query
 def chapter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.chapter_report(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "checks"))
+    """With the samples of a vector for each chunk that has the number of one."""
+    audio = F.col("audio")
+    levels = vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), F.size(audio).alias("samples"), F.aggregate(audio, F.lit(0.0), lambda s, x: s + x * x).alias("squares"), A.peak(audio).alias("peak"))
+    found = R.chapter_report(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "checks"), levels)
+    return found.withColumn("rms", F.round("rms", 5)).withColumn("peak", F.round("peak", 5))
 
 
 @query
@@ -550,3 +558,8 @@ def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.windowed_counts(read(spark, sf_dir, "events"))
+
+
+# Sources, and rules over literal texts.
+
+QUERIES |= sources.QUERIES | literals.QUERIES

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.functions import arrays as A
 from lectern.functions import text as T
 from lectern.functions.narration import ABBREVIATIONS
+from lectern.plans import literals, sources
 
 CHARS_PER_HOUR = 15 * 3600
 
@@ -28,10 +29,28 @@ def _stem(w: str) -> str:
     return f"substr({w}, 1, least(6, greatest(4, length({w}) - 3)))"
 
 
+#: Characters that stand for those that two texts share, and those for all others of the one and of the other.
+_CODES = "".join(chr(c) for c in (*range(1, 9), *range(14, 32), *range(33, 127)) if chr(c) not in "'\\")
+
+
+def _distance(a: str, b: str) -> str:
+    """The edit distance in characters; DuckDB's counts bytes. Only which characters are the same matters, so those that
+    stand in both texts become one byte each, and all others of a text one byte that the other text has not."""
+    shared = f"list_intersect(string_split({a}, ''), string_split({b}, ''))"
+    coded = lambda text, rest: f"array_to_string(list_transform(string_split({text}, ''), lambda ch: CASE WHEN list_position({shared}, ch) > 0 THEN substr('{_CODES}', CAST(list_position({shared}, ch) AS INTEGER), 1) ELSE {rest} END), '')"
+    plain = f"regexp_matches({a} || {b}, '^[ -~]*$')"
+    return f"CASE WHEN {plain} THEN levenshtein({a}, {b}) ELSE levenshtein({coded(a, 'chr(127)')}, {coded(b, chr(39) + ' ' + chr(39))}) END"
+
+
+def _coded(text: str, rest: str) -> str:
+    """The same for a text beside a column ``shared`` of the characters that stand in both."""
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda ch: CASE WHEN strpos(shared, ch) > 0 THEN substr('{_CODES}', CAST(strpos(shared, ch) AS INTEGER), 1) ELSE {rest} END), '')"
+
+
 def _close(a: str, b: str) -> str:
     apart = f"abs(length({a}) - length({b}))"
-    return f"""({a} = {b} OR (length({a}) >= 5 AND length({b}) >= 4 AND {apart} <= 3 AND (starts_with({b}, {_stem(a)}) OR starts_with({a}, {_stem(b)})))
-        OR ({apart} <= greatest(2, length({a}) // 3) AND levenshtein({a}, {b}) <= greatest(1, length({a}) // 4)))"""
+    return f"""CASE WHEN {a} = {b} THEN true WHEN length({a}) >= 5 AND length({b}) >= 4 AND {apart} <= 3 AND (starts_with({b}, {_stem(a)}) OR starts_with({a}, {_stem(b)})) THEN true
+        WHEN {apart} > greatest(2, length({a}) // 3) THEN false ELSE {_distance(a, b)} <= greatest(1, length({a}) // 4) END"""
 
 
 def _romanized(text: str) -> str:
@@ -44,11 +63,12 @@ def _romanized(text: str) -> str:
     return f"translate({text}, '{low}{low.upper()}{none}{none.upper()}', '{high}{high.upper()}')"
 
 
-def _abbreviated(text: str) -> str:
+def _abbreviated(text: str, lang: str) -> str:
     import re
 
-    for short in sorted(ABBREVIATIONS["en"], key=len, reverse=True):
-        text = f"regexp_replace({text}, '(^|[^A-Za-z]){re.escape(short)}', '\\1{ABBREVIATIONS['en'][short]}', 'g')"
+    flags, guard = ("(?i)", "[^\\p{L}]") if lang == "ru" else ("", "[^A-Za-z]")
+    for short in sorted(ABBREVIATIONS[lang], key=len, reverse=True):
+        text = f"regexp_replace({text}, '{flags}(^|{guard}){re.escape(short)}', '\\1{ABBREVIATIONS[lang][short]}', 'g')"
     return text
 
 
@@ -69,7 +89,9 @@ _HEARD = """(SELECT c.*, k.text, k.lang FROM (
         SELECT check_id, arg_max(chunk_id, loaded_at) AS chunk_id, arg_max(attempt, loaded_at) AS attempt, arg_max(ok, loaded_at) AS ok,
             arg_max_null(cer, loaded_at) AS cer, arg_max_null(transcript, loaded_at) AS heard FROM checks GROUP BY check_id) c
     JOIN chunks k ON k.chunk_id = c.chunk_id)"""
-_ASCII = f"(SELECT * FROM {_HEARD} WHERE regexp_matches(text, '^[ -~]+$') AND regexp_matches(heard, '^[ -~]+$'))"
+_FIRST_VOWEL = "(^|[^\\p{L}\\p{N}_])([бвгджзйклмнпрстфхцчшщъьБВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ]*)([аеиоуыэюя])"
+_EDGES = "^[.,!?;:—\\-«»\"''()\\[\\]…]+|[.,!?;:—\\-«»\"''()\\[\\]…]+$"
+_CLITICS = ", ".join(f"'{w}'" for w in T.CLITICS)
 _CLEAN_TITLE = f"regexp_replace({_clean('title')}, '^[ .—\\-–\\t]+|[ .—\\-–\\t]+$', '', 'g')"
 _AUDIO = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _PEAK = "coalesce(list_max(list_transform(audio, lambda x: abs(x))), 0)"
@@ -79,10 +101,16 @@ _LIMIT = A.db_to_lin(A.CEILING)
 _KNEE = 0.7 * _LIMIT
 _FLOOR = A.db_to_lin(A.SPEECH_FLOOR)
 _EDITS = """(SELECT chunk_id, CASE chunk_id % 4 WHEN 0 THEN replace(text, '.', ' !') WHEN 1 THEN text || ' x' WHEN 2 THEN '' ELSE text END AS text,
-        CASE chunk_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' END AS pause FROM chunks WHERE chunk_id % 2 = 0 OR chunk_id % 3 = 0)"""
+        CASE chunk_id % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' END AS pause FROM chunks)"""
 _BAKEOFF = f"(SELECT check_id, attempt, ok, cer, {_backend('lang')} AS backend, (check_id % 8) / 16.0::DOUBLE AS rtf, (check_id % 5 + 7) / 8.0::DOUBLE AS peak FROM {_HEARD})"
 
 
+def _speech(audio: str) -> str:
+    speech = f"list_filter({audio}, lambda x: abs(x) > {_FLOOR!r})"
+    level = lambda x: f"sqrt(list_sum(list_transform({x}, lambda x: x * x)) / len({x}))"
+    return f"20 * log10(greatest(CASE WHEN len({speech}) > 0 THEN {level(speech)} ELSE {level(audio)} END, 1e-12))"
+
+
 def _letters(text: str) -> str:
     return f"regexp_replace(replace(lower(replace({text}, chr(769), '')), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
@@ -96,7 +124,7 @@ ORACLE = {
         SELECT book_id, count(DISTINCT chapter_id) AS chapters, coalesce(sum(length(text)), 0)::BIGINT AS chars,
             round(coalesce(sum(length(text)), 0) / {CHARS_PER_HOUR}.0::DOUBLE, 6) AS hours
         FROM {_PARAGRAPHS} GROUP BY book_id""",
-    "clean_paragraphs": f"SELECT chapter_id, p_i, {_clean('text')} AS clean FROM {_PARAGRAPHS}",
+    "clean_paragraphs": f"SELECT chapter_id, p_i, {_clean('nfc_normalize(text)')} AS clean FROM {_PARAGRAPHS}",
     "chapter_titles": f"""
         SELECT chapter_id, clean, CASE WHEN len(parts) = 0 THEN '{T.UNTITLED}' WHEN len(parts) = 1 THEN parts[1]
             WHEN regexp_matches(parts[-1], '(?i)^[0-9IVXLCDM]+[.)]?$') THEN array_to_string(parts, ' — ')
@@ -104,12 +132,20 @@ ORACLE = {
             coalesce(lower(clean) IN ({_TITLES}), false) OR coalesce(lower(nav_path[-1]) IN ({_TITLES}), false) AS non_content
         FROM (SELECT chapter_id, {_CLEAN_TITLE} AS clean, nav_path, list_filter(coalesce(nav_path, []), lambda x: length(x) > 0) AS parts FROM chapters)""",
     "unlisted_text": """
-        SELECT book_id, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM documents
-        WHERE book_id IS NOT NULL AND book_id NOT IN (SELECT book_id FROM chapters WHERE book_id IS NOT NULL)
-        GROUP BY book_id HAVING coalesce(sum(length(text)), 0) > 500""",
+        WITH d AS (SELECT *, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), kind) AS file FROM documents)
+        SELECT file, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM d
+        WHERE file NOT IN (SELECT file FROM d WHERE book_id IS NOT NULL AND kind <> 'verse') GROUP BY file HAVING coalesce(sum(length(text)), 0) > 500""",
     "chapter_spec": """
         SELECT book_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([book_id % 3 + 1], range(book_id % 5 + 1, book_id % 5 + 4)), lambda x: x <= 6))), ',') AS chapters
         FROM books""",
+    "book_chapters": f"""
+        WITH toc AS (SELECT book_id, chapter_id, nav_path, src, list_filter(coalesce(nav_path, []), lambda x: length(x) > 0) AS parts, nav_path[-1] AS label FROM chapters),
+        spine AS (SELECT book_id, src, min(chapter_index) AS position, list_filter(arg_min(paragraphs, chapter_id), lambda x: length(x) > 0) AS p FROM chapters GROUP BY book_id, src),
+        made AS (SELECT toc.*, position, CASE WHEN coalesce(lower(p[1]) = lower(label), false) THEN p[2:] ELSE p END AS p FROM toc JOIN spine ON spine.book_id = toc.book_id AND spine.src = toc.src
+            WHERE NOT (coalesce(lower(regexp_replace({_clean('label')}, '^[ .—\\-–\\t]+|[ .—\\-–\\t]+$', '', 'g')) IN ({_TITLES}), false) OR coalesce(lower(label) IN ({_TITLES}), false)))
+        SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY position, chapter_id) AS INTEGER) AS chapter_index, CASE WHEN len(parts) = 0 THEN '{T.UNTITLED}' WHEN len(parts) = 1 THEN parts[1]
+            WHEN regexp_matches(parts[-1], '(?i)^[0-9IVXLCDM]+[.)]?$') THEN array_to_string(parts, ' — ') WHEN len(parts) > 2 THEN parts[1] || ' — ' || parts[-1] ELSE parts[-1] END AS title, src, CAST(len(p) AS INTEGER) AS n_paragraphs
+        FROM made WHERE len(p) > 0""",
     "slugs": """
         SELECT p_partkey, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
             p_name || ' / ' || p_type, '[^\\w\\s.\\-]', '', 'g'), '[\\s_]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM part""",
@@ -128,7 +164,9 @@ ORACLE = {
         FROM (SELECT CAST(l_quantity AS INTEGER) AS n FROM lineitem) GROUP BY n""",
     "roman_numerals": "SELECT o_orderkey, CAST(o_orderkey % 3999 + 1 AS BIGINT) AS value FROM orders",
     "spelled_names": "SELECT s_suppkey, array_to_string(list_transform(string_split(s_name, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z]') THEN lower(c) ELSE c END), ' ') AS spelled FROM supplier",
-    "abbreviations_en": f"SELECT doc_id, {_abbreviated('text')} AS text FROM documents WHERE lang = 'en' AND text IS NOT NULL",
+    "abbreviations": f"""
+        SELECT doc_id, lower(lang) AS lang, CASE WHEN lower(lang) = 'ru' THEN {_abbreviated('text', 'ru')} ELSE {_abbreviated('text', 'en')} END AS text
+        FROM documents WHERE lower(lang) IN ('en', 'ru') AND text IS NOT NULL""",
     "sentences_crude": f"""
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS longest
         FROM (SELECT doc_id, {_sentences(_clean('text'))} AS s FROM documents WHERE text IS NOT NULL)""",
@@ -144,19 +182,39 @@ ORACLE = {
         SELECT chunk_id, acute, regexp_replace(acute, '(?s)(.)' || chr(769), '+\\1', 'g') AS plus
         FROM (SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(text, '([аеёиоуыэюя])', '+\\1', 'g'), '\\+([ёЁ])', '\\1', 'g'), '(?s)\\+(.)', '\\1' || chr(769), 'g') AS acute
             FROM chunks WHERE text IS NOT NULL)""",
+    "sparse_marks": f"""
+        WITH m AS (SELECT chunk_id, text, regexp_replace(text, '{_FIRST_VOWEL}', '\\1\\2+\\3', 'g') AS marked FROM chunks WHERE text IS NOT NULL),
+        t AS (SELECT chunk_id, unnest(string_split(marked, ' ')) AS token, generate_subscripts(string_split(marked, ' '), 1) AS i FROM m),
+        b AS (SELECT *, replace(token, '+', '') AS bare, regexp_replace(regexp_replace(token, '\\+([ёЁ])', '\\1', 'g'), '(?s)\\+(.)', '\\1' || chr(769), 'g') AS acute FROM t),
+        c AS (SELECT *, regexp_replace(lower(bare), '{_EDGES}', '', 'g') AS core FROM b),
+        o AS (SELECT chunk_id, string_agg(CASE WHEN contains(core, 'ё') OR len(regexp_extract_all(core, '[аеёиоуыэюя]')) < 2 OR core IN ({_CLITICS}) THEN bare
+            WHEN contains(acute, '-') AND contains(acute, chr(769)) THEN array_to_string(string_split(acute, chr(769))[1:-2], '') || chr(769) || string_split(acute, chr(769))[-1]
+            ELSE acute END, ' ' ORDER BY i) AS text FROM c GROUP BY chunk_id),
+        w AS (SELECT chunk_id, count(DISTINCT replace(word, '+', '')) FILTER (WHERE replace(word, '+', '') <> '') AS n
+            FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(marked), '[+а-яё]+')) AS word FROM m) GROUP BY chunk_id)
+        SELECT m.chunk_id, o.text, regexp_replace(m.text, '([\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}},»)]) [–—] ', '\\1... ', 'g') AS paused, CAST(coalesce(n, 0) AS INTEGER) AS words
+        FROM m JOIN o ON o.chunk_id = m.chunk_id LEFT JOIN w ON w.chunk_id = m.chunk_id""",
     "stems": f"""
         SELECT {_stem('word')} AS stem, count(*) AS n, count(DISTINCT word) AS forms
         FROM (SELECT unnest(string_split({_canon('text')}, ' ')) AS word FROM chunks) WHERE word <> '' GROUP BY 1""",
     "close_words": f"""
-        WITH w AS (SELECT list_filter(string_split({_canon('text')}, ' '), lambda x: regexp_matches(x, '^[a-z]+$')) AS w FROM chunks),
+        WITH w AS (SELECT list_filter(string_split({_canon('text')}, ' '), lambda x: x <> '') AS w FROM chunks),
         p AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
         SELECT a, b, {_close('a', 'b')} AS close FROM p""",
-    "cer_ascii": f"""
-        SELECT check_id, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0 ELSE 1 END ELSE levenshtein(a, b) / length(a)::DOUBLE END, 6) AS cer
-        FROM (SELECT check_id, {_canon('text')} AS a, {_canon('heard')} AS b FROM {_ASCII})""",
+    "cer_simple": f"""
+        WITH c AS (SELECT check_id, {_canon("coalesce(text, '')")} AS a, {_canon("coalesce(heard, '')")} AS b FROM {_HEARD}),
+        s AS (SELECT *, array_to_string(list_intersect(string_split(a, ''), string_split(b, '')), '') AS shared FROM c),
+        d AS (SELECT *, {_coded('a', 'chr(127)')} AS x, {_coded('b', "' '")} AS y FROM s)
+        SELECT check_id, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0 ELSE 1 END ELSE levenshtein(x, y) / length(a)::DOUBLE END, 6) AS cer FROM d""",
     "missing_words": f"""
-        SELECT check_id, array_to_string(list_filter(a, lambda w: len(list_filter(b, lambda h: {_close('w', 'h')})) = 0 AND NOT (length(w) >= 5 AND contains(array_to_string(b, ''), w))), ' ') AS missing
-        FROM (SELECT check_id, list_filter(string_split({_canon('text')}, ' '), lambda w: length(w) >= 2) AS a, list_filter(string_split({_canon('heard')}, ' '), lambda w: length(w) > 0) AS b FROM {_ASCII})""",
+        WITH h AS (SELECT check_id, list_filter(string_split({_canon("coalesce(text, '')")}, ' '), lambda w: length(w) >= 2) AS a,
+            list_filter(string_split({_canon("coalesce(heard, '')")}, ' '), lambda w: length(w) > 0) AS b FROM {_HEARD}),
+        w AS (SELECT check_id, b, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM h),
+        p AS (SELECT DISTINCT w, unnest(b) AS x FROM w),
+        n AS (SELECT w, x FROM p WHERE {_close('w', 'x')}),
+        f AS (SELECT DISTINCT check_id, i FROM (SELECT check_id, i, w, unnest(b) AS x FROM w) SEMI JOIN n USING (w, x)),
+        l AS (SELECT check_id, string_agg(w, ' ' ORDER BY i) AS missing FROM w ANTI JOIN f USING (check_id, i) WHERE NOT (length(w) >= 5 AND contains(array_to_string(b, ''), w)) GROUP BY check_id)
+        SELECT check_id, coalesce(missing, '') AS missing FROM h LEFT JOIN l USING (check_id)""",
     "word_deficits": f"""
         SELECT check_id, written, said, coalesce((written - said >= 2 AND written >= 6) OR (written > said AND written >= 12 AND cer > 0.005), false) AS deficit
         FROM (SELECT check_id, cer, CAST(len(list_filter(string_split({_canon("coalesce(text, '')")}, ' '), lambda w: w <> '')) AS INTEGER) AS written,
@@ -166,15 +224,40 @@ ORACLE = {
         FROM {_HEARD} GROUP BY chunk_id""",
     "kept_attempts": f"""
         SELECT chunk_id, coalesce(min(attempt) FILTER (WHERE ok), max(attempt)) AS attempt, count(*) FILTER (WHERE ok) > 0 AS ok
-        FROM {_HEARD} WHERE attempt <= 2 GROUP BY chunk_id""",
+        FROM {_HEARD} WHERE attempt <= 3 GROUP BY chunk_id""",
     "rate_calibration": f"""
-        SELECT chunk_id, round(CASE WHEN n > 12 THEN quantile_cont(chars / seconds, 0.5) OVER (PARTITION BY chapter ORDER BY n ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING) ELSE 15.0 END, 6) AS rate
-        FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY chunk_id) AS n FROM (
-            SELECT chapter, chunk_id, length(text) AS chars, (chunk_id % 97 + 40) / 16.0::DOUBLE AS seconds FROM {_CHUNKS} WHERE text IS NOT NULL) WHERE chars >= 40)""",
+        WITH r AS (SELECT *, count(*) FILTER (WHERE chars >= 40) OVER (PARTITION BY chapter ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM (
+            SELECT chapter, chunk_id, length(text) AS chars, (chunk_id % 97 + 40) / 16.0::DOUBLE AS seconds FROM {_CHUNKS} WHERE text IS NOT NULL))
+        SELECT chunk_id, round(CASE WHEN n >= 12 THEN (SELECT quantile_cont(q.chars / q.seconds, 0.5) FROM r q WHERE q.chapter = r.chapter AND q.chars >= 40 AND q.n BETWEEN r.n - 400 AND r.n - 1) ELSE 15.0 END, 6) AS rate FROM r""",
     "signal_levels": f"""
         SELECT vec_id, round({_PEAK}, 6) AS peak, round({_RMS}, 6) AS rms, round(20 * log10(greatest({_RMS}, 1e-12)), 4) AS dbfs,
             round(-20.0::DOUBLE - 20 * log10(greatest(CASE WHEN len(speech) > 0 THEN sqrt(list_sum(list_transform(speech, lambda x: x * x)) / len(speech)) ELSE {_RMS} END, 1e-12)), 4) AS gain
         FROM (SELECT vec_id, audio, list_filter(audio, lambda x: abs(x) > {_FLOOR!r}) AS speech FROM (SELECT vec_id, {_AUDIO} AS audio FROM embeddings))""",
+    "normalised": f"""
+        WITH a AS (SELECT vec_id, {_AUDIO} AS audio FROM embeddings), b AS (SELECT vec_id, audio, {_speech('audio')} AS before FROM a),
+        c AS (SELECT *, -20.0::DOUBLE - before AS gain, list_transform(audio, lambda x: x * pow(10, (-20.0::DOUBLE - before) / 20)) AS y FROM b),
+        d AS (SELECT *, CASE WHEN list_max(list_transform(y, lambda x: abs(x))) <= {_LIMIT!r} THEN y ELSE list_transform(y, lambda x: greatest(-{_LIMIT!r}, least({_LIMIT!r},
+            CASE WHEN abs(x) > {_KNEE!r} THEN sign(x) * ({_KNEE!r} + {_LIMIT - _KNEE!r} * tanh((abs(x) - {_KNEE!r}) / {_LIMIT - _KNEE!r})) ELSE x END))) END AS z FROM c)
+        SELECT vec_id, round(before, 4) AS rms_before, round(gain, 4) AS gain, round({_speech('z')}, 4) AS rms_after, round(20 * log10(greatest(list_max(list_transform(z, lambda x: abs(x))), 1e-12)), 4) AS peak_after,
+            round(-60.0::DOUBLE + gain, 4) AS noise_floor, round(list_max(list_transform(z, lambda x: abs(x))), 6) AS peak FROM d""",
+    "phoneme_tokens": """
+        SELECT chunk_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(\\+?[а-яё][+а-яё]*(?:-[+а-яё]+)*|\\.\\.\\.|[—–]|-\\s|[,.!?;:…])'),
+            lambda t: CASE WHEN t = '...' THEN '…' WHEN t = '–' OR t LIKE '-%' THEN '—' ELSE t END), ' ') AS tokens FROM chunks WHERE text IS NOT NULL""",
+    "assembled": f"""
+        WITH v AS (SELECT vec_id // 10 AS part, vec_id, vec_id % 5 * 10 AS pause, {_AUDIO} AS audio FROM embeddings WHERE vec_id % 7 <> 3),
+        h AS (SELECT *, {_PEAK} AS top FROM v),
+        s AS (SELECT *, list_transform(audio, lambda x: CASE WHEN top > {_LIMIT!r} THEN x * ({_LIMIT!r} / top) ELSE x END) AS x FROM h),
+        l AS (SELECT *, list_filter(range(1, len(x) + 1), lambda i: abs(x[i]) > {A.db_to_lin(A.TRIM_FLOOR)!r}) AS loud FROM s),
+        t AS (SELECT *, CASE WHEN len(loud) > 0 THEN x[greatest(loud[1] - 40, 1):least(loud[-1] + 40, len(x))] ELSE [] END AS piece FROM l),
+        j AS (SELECT part, flatten(list(list_concat(piece, CASE WHEN len(piece) > 0 THEN list_transform(range(pause), lambda i: 0.0::DOUBLE) ELSE [] END) ORDER BY vec_id)) AS y FROM t GROUP BY part),
+        g AS (SELECT a.part, list_concat(list_transform(range(700), lambda i: 0.0::DOUBLE), coalesce(y, []), list_transform(range(900), lambda i: 0.0::DOUBLE)) AS w FROM (SELECT DISTINCT vec_id // 10 AS part FROM embeddings) a LEFT JOIN j ON j.part = a.part),
+        n AS (SELECT part, w, -20.0::DOUBLE - {_speech('w')} AS gain FROM g),
+        o AS (SELECT *, list_transform(w, lambda x: x * pow(10, gain / 20)) AS y FROM n),
+        z AS (SELECT *, CASE WHEN list_max(list_transform(y, lambda x: abs(x))) <= {_LIMIT!r} THEN y ELSE list_transform(y, lambda x: greatest(-{_LIMIT!r}, least({_LIMIT!r},
+            CASE WHEN abs(x) > {_KNEE!r} THEN sign(x) * ({_KNEE!r} + {_LIMIT - _KNEE!r} * tanh((abs(x) - {_KNEE!r}) / {_LIMIT - _KNEE!r})) ELSE x END))) END AS z FROM o)
+        SELECT part, round(len(w) / 1000.0::DOUBLE, 6) AS seconds, CAST(0 AS BIGINT) AS clamped, round({_speech('z')}, 4) AS rms_after, round(gain, 4) AS gain FROM z""",
+    "usable_arrays": f"""
+        SELECT vec_id, len(audio) / (vec_id % 30 + 1)::DOUBLE BETWEEN 1 AND 20 AND len(list_filter(audio, lambda x: NOT isfinite(x))) = 0 AS usable, len(audio) / (vec_id % 30 + 1)::DOUBLE BETWEEN 1 AND 20 AS clean FROM {_BAD}""",
     "sanitised": f"""
         SELECT vec_id, CAST(len(list_filter(audio, lambda x: NOT isfinite(x))) AS BIGINT) AS bad,
             round(list_max(list_transform(audio, lambda x: CASE WHEN isfinite(x) THEN abs(x) ELSE 0 END)), 6) AS peak FROM {_BAD}""",
@@ -239,14 +322,18 @@ ORACLE = {
         s AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY book_id ORDER BY chapter_id), 0) AS b FROM m)
         SELECT book_id, ';FFMETADATA1' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || b || chr(10) || 'END=' || e || chr(10) || 'title='
             || replace(regexp_replace(coalesce(title, ''), '([=;#\\\\])', '\\\\\\1', 'g'), chr(10), ' '), chr(10) ORDER BY chapter_id) || chr(10) AS metadata FROM s GROUP BY book_id""",
-    "missing_chapters": "SELECT DISTINCT book_id, chapter_index FROM chapters h WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.book_id = h.book_id AND c.chapter_index = h.chapter_index)",
-    "chapter_report": """
-        SELECT book_id, chapter_index, count(*) AS chunks, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS retries, count(*) FILTER (WHERE NOT passed) AS flagged
-        FROM chunks LEFT JOIN (SELECT chunk_id, count(DISTINCT check_id) AS n, bool_or(ok) AS passed FROM checks GROUP BY chunk_id) k USING (chunk_id) GROUP BY book_id, chapter_index""",
+    "missing_chapters": "SELECT chunk_id, book_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM checks k WHERE k.chunk_id = c.chunk_id AND k.ok)",
+    "chapter_report": f"""
+        WITH a AS (SELECT vec_id, len(audio) AS n, list_sum(list_transform(audio, lambda x: x * x)) AS q, {_PEAK} AS p FROM (SELECT vec_id, {_AUDIO} AS audio FROM embeddings))
+        SELECT book_id, chapter_index, count(*) AS chunks, coalesce(sum(greatest(k.n - 1, 0)), 0)::BIGINT AS retries, count(*) FILTER (WHERE NOT passed) AS flagged,
+            CASE WHEN sum(a.n) > 0 THEN round(20 * log10(greatest(sqrt(sum(q) / sum(a.n)), 1e-12)), 5) END AS rms, CASE WHEN sum(a.n) > 0 THEN round(20 * log10(greatest(max(p), 1e-12)), 5) END AS peak
+        FROM chunks LEFT JOIN (SELECT chunk_id, count(DISTINCT check_id) AS n, bool_or(ok) AS passed FROM checks GROUP BY chunk_id) k ON k.chunk_id = chunks.chunk_id LEFT JOIN a ON vec_id = chunks.chunk_id GROUP BY book_id, chapter_index""",
     "container_problems": """
         SELECT book_id, array_to_string(list_filter([CASE WHEN book_id % 3 <> 0 THEN 'media_type is not 2' END, CASE WHEN book_id % 4 = 0 THEN 'no chapters' END,
             CASE book_id % 5 WHEN 0 THEN 'no audio stream' WHEN 1 THEN 'audio codec is mp3, expected aac' END, CASE WHEN coalesce(length(title), 0) = 0 THEN 'no title tag' END,
             CASE WHEN coalesce(length(cover_path), 0) = 0 THEN 'no cover art' END], lambda x: x IS NOT NULL), '; ') AS problems FROM books""",
+    "corpus_split": """
+        SELECT doc_id, lang, CASE WHEN row_number() OVER (ORDER BY md5('7/' || doc_id), doc_id) <= 100 THEN 'val' ELSE 'train' END AS part FROM documents WHERE text IS NOT NULL""",
     "corpus_hours": """
         SELECT book_id, count(*) FILTER (WHERE s BETWEEN 1 AND 20) AS kept, count(*) FILTER (WHERE NOT s BETWEEN 1 AND 20) AS dropped, round(sum(s) FILTER (WHERE s BETWEEN 1 AND 20) / 3600, 6) AS hours
         FROM (SELECT book_id, length(text) / 16.0::DOUBLE AS s FROM chunks WHERE text IS NOT NULL) GROUP BY book_id""",
@@ -255,3 +342,5 @@ ORACLE = {
         FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE length(trim(t, ' ')) > 0""",
     "hourly_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
+
+ORACLE |= sources.ORACLE | literals.ORACLE

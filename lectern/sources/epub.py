@@ -181,17 +181,26 @@ def parse(path: str, data: bytes) -> dict:
     return record
 
 
-def read_epubs(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
-    """One row for each archive, with the columns of ``SCHEMA``."""
+def parse_epubs(files: DataFrame) -> DataFrame:
+    """One row for each archive of ``path, content``, with the columns of ``SCHEMA``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([parse(p, bytes(c)) for p, c in zip(frame["path"], frame["content"])])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def archives(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
+    """``path, content`` of the archives below a path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+
+def read_epubs(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
+    """One row for each archive below a path, with the columns of ``SCHEMA``."""
+    return parse_epubs(archives(spark, path, pattern))
+
+
 def spine_of(books: DataFrame) -> DataFrame:
     """``book_id, file, position``: items of the spine that the manifest names, in reading order."""
     refs = books.select(F.col("path").alias("book_id"), F.posexplode("spine").alias("position", "id"))
@@ -209,10 +218,10 @@ def cover_of(books: DataFrame) -> DataFrame:
     return books.select(F.col("path").alias("book_id"), F.coalesce(named, old, image, F.lit("")).alias("cover"))
 
 
-def cover_images(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
-    """``book_id, cover, content``: the bytes of the cover of each archive; null where there is none or it is missing."""
-    covers = cover_of(read_epubs(spark, path, pattern)).filter("cover <> ''")
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("book_id"), "content")
+def cover_images(files: DataFrame) -> DataFrame:
+    """``book_id, cover, content``: the bytes of the cover of each archive of ``path, content``; null where the archive
+    does not hold it. Archives without a cover have no row."""
+    covers = cover_of(parse_epubs(files)).filter("cover <> ''")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -222,7 +231,8 @@ def cover_images(spark: SparkSession, path: str, pattern: str = "*.epub") -> Dat
                     images.append(archive.read(name) if name in archive.namelist() else None)
             yield frame.assign(content=images)
 
-    return archives.join(covers, "book_id").select("book_id", "cover", "content").mapInPandas(run, "book_id string, cover string, content binary")
+    found = files.select(F.col("path").alias("book_id"), "content").join(covers, "book_id").select("book_id", "cover", "content")
+    return found.mapInPandas(run, "book_id string, cover string, content binary")
 
 
 def book_json(books: DataFrame, made: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ def spark(tmp_path_factory):
 
     session = local_session(4, "3g", str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("ERROR")
+    # Workers import models that tests define.
+    session.sparkContext.environment["PYTHONPATH"] += os.pathsep + str(Path(__file__).resolve().parent)
     yield session
     session.stop()
 

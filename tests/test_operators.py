@@ -54,7 +54,7 @@ def test_close_words_of_any_script(spark, tmp_path):
     canonical = [r[0] for r in spark.read.parquet(f"{tmp_path}/chunks.parquet").select(compare.canon_simple(F.col("text"))).collect()]
     words = [[w for w in (t or "").split(" ") if w] for t in canonical]
     wanted = {(a, b, compare.close(a, b)) for w in words for a, b in zip(w, w[1:])}
-    found = collected(QUERIES["close_words_all"](spark, str(tmp_path)))
+    found = collected(QUERIES["close_words"](spark, str(tmp_path)))
     assert found == sorted(wanted, key=repr) and {("лоцман", "лоцмана", True), ("12", "похвалил", False), ("the", "café", False)} <= wanted
 
 
@@ -69,7 +69,8 @@ def test_attempts(spark):
 def test_rate(spark):
     rows = [("a", k, 60, 4.0 if k < 15 else 2.0) for k in range(40)] + [("a", 100, 3, 1.0), ("b", 1, 50, None)]
     out = {r["k"]: r["rate"] for r in V.rate_calibration(spark.createDataFrame(rows, "g string, k int, chars int, seconds double"), "g", ["k"]).collect()}
-    assert out[0] == out[11] == 15.0 and out[12] == 15.0 and out[39] == 30.0 and 100 not in out
+    assert out[0] == out[11] == 15.0 and out[12] == 15.0 and out[39] == 30.0 and out[100] == 30.0 and out[1] == 15.0 and len(out) == 41
+    assert V.rate_calibration(spark.createDataFrame([], "g string, k int, chars int, seconds double"), "g", ["k"]).count() == 0
 
 
 def test_reports(spark):
@@ -107,14 +108,10 @@ def test_whole_tables(spark, sf_dir, tmp_path):
     rows = [(1, "EN", "Dr. May, e.g. etc."), (2, "en", "see Mr. Fox"), (3, "RU", "Хлеб и Т.Д. на стр. 5"), (4, "ru", "т. е. он"), (5, "de", "Dr. May"), (6, "en", None)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     wanted = [(k, lang.lower(), narration.expand_abbreviations(t, lang.lower())) for k, lang, t in rows[:4]]
-    assert collected(QUERIES["abbreviations_all"](spark, str(tmp_path))) == wanted
+    assert collected(QUERIES["abbreviations"](spark, str(tmp_path))) == wanted
     chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
-    every = QUERIES["judged_edits_all"](spark, sf_dir)
-    assert collected(every.select("chunk_id")) == collected(chunks.select("chunk_id"))
-    part = {r[0]: r[1] for r in QUERIES["judged_edits"](spark, sf_dir).collect()}
-    assert part.items() < {r[0]: r[1] for r in every.collect()}.items()
-    changed = QUERIES["applied_edits_all"](spark, sf_dir).join(chunks.select("chunk_id", F.col("text").alias("own")), "chunk_id").filter("text <> own and chunk_id % 6 = 5")
-    assert changed.filter("chunk_id % 4 = 1").count() > 0
+    assert collected(QUERIES["judged_edits"](spark, sf_dir).select("chunk_id")) == collected(chunks.select("chunk_id"))
+    assert QUERIES["cer_simple"](spark, sf_dir).count() == QUERIES["cer_all"](spark, sf_dir).count()
 
 
 def test_edit_cache(spark):
@@ -169,7 +166,9 @@ def test_reports_audio_and_probes(spark, tmp_path):
     problems = [r[0] for r in df.orderBy("file").select(R.container_problems(files.probe_struct(F.col("probe")))).collect()]
     assert problems == [["no chapters", "audio codec is mp3, expected aac", "no cover art"], ["media_type is not 2", "no chapters", "no audio stream", "no title tag", "no cover art"]]
     assert collected(files.probe_chapters(df.filter("file = 'f'"))) == [("f", 0, 0.0, 9.5)]
-    assert files.html_table(spark.createDataFrame([("<a>",)], "x string")).count("&lt;a&gt;") == 1
+    files.html_table(spark.createDataFrame([("<a>",), (None,)], "x string"), str(tmp_path / "table"))
+    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "table")).collect())
+    assert lines == ["<table><tr><th>x</th></tr>", '<tr><td class="">&lt;a&gt;</td></tr>', '<tr><td class=""></td></tr>'] or len(lines) == 3 and any("&lt;a&gt;" in x for x in lines)
 
 
 def book(path, toc=True):
@@ -200,7 +199,7 @@ def test_epub(spark, tmp_path):
 
 def test_covers_and_json(spark, tmp_path):
     book(tmp_path / "k.epub")
-    assert [(r["cover"], r["content"]) for r in epub.cover_images(spark, str(tmp_path)).collect()] == [("o/Cover.jpg", None)]
+    assert [(r["cover"], r["content"]) for r in epub.cover_images(epub.archives(spark, str(tmp_path))).collect()] == [("o/Cover.jpg", None)]
     books = epub.read_epubs(spark, str(tmp_path))
     out = json.loads(epub.book_json(books, epub.chapters(books)).first()["json"])
     assert out["title"] == "T t" and [c["title"] for c in out["chapters"]] == ["One", "One — 2", "b"] and out["char_count"] == sum(c["char_count"] for c in out["chapters"])
@@ -234,6 +233,82 @@ def test_contracts(spark):
     assert collected(contracts.edit(chunks, "g", "k", editor, size=1)) == [("g", 1, 0, "ДА", None, False), ("g", None, None, None, None, True)]
 
 
+def fake_voice():
+    def say(text, lang, seed):
+        # The first attempt at a long text is silent.
+        level = 0.0 if seed == 0 and len(text) > 100 else 0.3
+        return [level, -level] * int(50 * (0.55 + len(text) / 15.0)), 100
+
+    return say
+
+
+def test_conversion(spark, tmp_path, monkeypatch, capsys):
+    import lectern.__main__ as cli
+    from lectern.operators import pipeline
+
+    (tmp_path / "in").mkdir()
+    book(tmp_path / "in" / "k.epub")
+    books = epub.read_epubs(spark, str(tmp_path / "in"))
+    made = pipeline.convert(books, str(tmp_path / "out"), fake_voice, None, pipeline.Options(retries=1, sample_rate=100))
+    report = {r["chapter_index"]: r for r in made["report"].collect()}
+    assert sorted(report) == [1, 2, 3] and report[1]["retries"] == 0 and report[3]["retries"] == report[3]["chunks"] > 1
+    assert made["problems"].count() == 0 and "title=One — 2" in made["metadata"].first()["metadata"]
+    assert [r[0] > 1.6 for r in made["chapters"].select("seconds").collect()] == [True] * 3
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    assert cli.main(["inspect", str(tmp_path / "in"), "--chapters", "1-2"]) == 0
+    assert cli.main(["convert", str(tmp_path / "in"), str(tmp_path / "two"), "--voice", "test_operators:fake_voice", "--chapters", "1", "--sample-rate", "100", "--retries", "0"]) == 0
+    out = capsys.readouterr().out
+    assert out.count("k.epub") >= 2
+    (tmp_path / "none").mkdir()
+    assert cli.main(["inspect", str(tmp_path / "none")]) == 2
+    assert cli.main(["edit", str(tmp_path / "in"), str(tmp_path / "e"), "--editor", "test_operators:fake_editor"]) == 0 and "accepted" in capsys.readouterr().out
+    assert cli.main(["edit", str(tmp_path / "in"), str(tmp_path / "e"), "--lang", "en", "--editor", "test_operators:fake_editor"]) == 2
+    with pytest.raises(SystemExit) as wrong:
+        cli.main(["convert", "x", "y", "--voice", "nothing:here"])
+    assert wrong.value.code == 2
+
+
+def fake_editor():
+    return lambda rows: [(i, t.replace(".", "!"), None) for i, t in rows]
+
+
+def test_marking_contracts(spark):
+    from lectern.operators import contracts
+
+    texts = spark.createDataFrame([("Дорога после дождя",), (None,)], "text string")
+    marked = contracts.mark_stress(texts, lambda: (lambda t: t.replace("орога", "ор+ога"), lambda w: w.replace("о", "+о", 1)))
+    assert [r["marked"] for r in marked.collect()] == ["Дор+ога п+осле д+ождя", None]
+    acute = contracts.mark_acute(spark.createDataFrame([("ла\u0301мпа горела",), (None,)], "text string"), lambda: lambda t: t.replace("горела", "гор+ела"))
+    assert [r["marked"] for r in acute.collect()] == ["ла\u0301мпа горе\u0301ла", None]
+    said = contracts.phonemise(spark.createDataFrame([("Да... нет – ок, 5",), (None,)], "text string"), lambda: lambda w: "" if w == "ок" else w.upper())
+    assert [r["phonemes"] for r in said.collect()] == ["ДА… НЕТ—,", None]
+
+
+def test_assembly(spark):
+    from lectern.operators import contracts
+
+    rows = [("a", 2, [0.5] * 300, 100), ("a", 1, [0.0] * 50, 70), ("a", 3, None, 5), ("b", 1, None, None)]
+    out = {r["g"]: r for r in contracts.assemble(spark.createDataFrame(rows, "g string, k int, audio array<double>, pause_ms int"), "g", "k", 1000).collect()}
+    assert out["a"]["seconds"] == 2.0 and out["b"]["seconds"] == 1.6 and out["a"]["clamped"] == 0
+    assert abs(out["a"]["rms_after"] + 20) < 0.01 and len(out["a"]["audio"]) == 2000 and max(out["b"]["audio"]) == 0
+    assert contracts.assemble(spark.createDataFrame([], "g string, k int, audio array<double>, pause_ms int"), "g", "k", 1000).count() == 0
+
+
+def test_headroom_is_linear(spark):
+    import time
+
+    from lectern.functions import arrays as A
+
+    def seconds(n):
+        rows = spark.range(4).select(A.headroom(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.sin(k * F.col("id")) * 3)).alias("x"))
+        began = time.perf_counter()
+        rows.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 15
+
+
 def test_unicode(spark):
     from lectern.functions import unicode as U
 

@@ -14,12 +14,15 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_agrees_with_sql(spark, sf_dir, con, name):
+    assert con.execute(f"SELECT count(*) FROM ({ORACLE[name]})").fetchone()[0] > 0  # nothing compared with nothing is no proof
     assert differences(QUERIES[name](spark, sf_dir), con, ORACLE[name]) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+    found = QUERIES[name](spark, sf_dir)
+    found.write.format("noop").mode("overwrite").save()  # every row and column is computed
+    assert found.count() > 0
 
 
 def test_entry(spark):
@@ -40,7 +43,7 @@ def test_queries_are_listed_without_a_session():
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    plan = QUERIES["abbreviations_en"](spark, sf_dir)._jdf.queryExecution().toString()
+    plan = QUERIES["duration_guards"](spark, sf_dir)._jdf.queryExecution().toString()
     pushed = plan.rsplit("PushedFilters: [", 1)[1].split("]", 1)[0]
-    assert set(pushed.split(", ")) == {"IsNotNull(lang)", "IsNotNull(text)", "EqualTo(lang,en)"}
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+    assert pushed == "IsNotNull(text)"
+    assert "ReadSchema: struct<chunk_id:bigint,text:string>" in plan
