@@ -301,7 +301,8 @@ def labelled_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
     code, hashed = label_code(F.col("lang")), F.xxhash64("doc_id")
     known = documents.filter(code.isNotNull())
     # Hashes up to here hold about twice the rows that are wanted, so that no more are sorted and sent.
-    most = -(1 << 63) + int(min(1.0, 2 * rows / max(1, known.count())) * ((1 << 64) - 1))
+    share = 2 * rows / max(1, known.count())
+    most = (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)
     sample = known.filter((hashed <= most) & F.length("text").between(1, chars)).select(hashed.alias("h"), "doc_id", code.alias("code"), "text").orderBy("h", "doc_id", "text").limit(rows)
     return [(r["code"], r["text"]) for r in sample.select("code", "text").collect()]
 

@@ -42,6 +42,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).filter("piece_i = 1").select("item_kind", "item_id", "p_i")
 
 
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of all items: they cover every character, in order, within both limits."""
+    limits = _limits(spark, sf_dir)
+    most, shared = F.lit(0), F.lit(0)
+    for kind, (chars, overlap) in limits.items():
+        most, shared = F.when(F.col("item_kind") == kind, chars).otherwise(most), F.when(F.col("item_kind") == kind, overlap).otherwise(shared)
+    pieces = p2_pieces(spark, sf_dir)
+    spans = F.array_sort(F.collect_list(F.struct("piece_i", "start", "end")))
+    by_item = pieces.groupBy("item_kind", "item_id", "p_i").agg(spans.alias("s"), F.max(F.length("piece")).alias("longest"))
+    steps = F.zip_with(F.slice("s", 2, 1 << 20), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), lambda b, a: (b["start"] > a["start"]) & (b["end"] > a["end"]) & (b["start"] <= a["end"]) & (a["end"] - b["start"] <= shared))
+    ends = F.element_at("s", -1)["end"]
+    rows = by_item.select("item_kind", ends.alias("covered"), (F.size("s") > 1).alias("divided"), (F.col("longest") <= most).alias("within"), (F.forall(steps, lambda x: x) & (F.element_at("s", 1)["start"] == 0)).alias("ordered"))
+    return rows.groupBy("item_kind").agg(F.count(F.lit(1)).alias("items"), F.sum("covered").cast("long").alias("covered"), F.count_if("divided").alias("divided"), F.bool_and("within").alias("within"), F.bool_and("ordered").alias("in_order"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items with different characters that look the same."""
     return normalform.same_looking_pairs(text_items(spark, sf_dir, ("chunk", "paragraph", "title")))
@@ -111,6 +126,18 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: every token is in one, none is overfull, and they are numbered from 0."""
+    packed, capacities = _packed(spark, sf_dir)
+    capacity = F.lit(None).cast("long")
+    for name, n in capacities.items():
+        capacity = F.when(F.col("pack_name") == name, n).otherwise(capacity)
+    loads = packed.filter("container_id is not null").groupBy("pack_name", "container_id").agg(F.sum("tokens").alias("load"))
+    full = loads.groupBy("pack_name").agg(F.count_if(F.col("load") > capacity).cast("int").alias("overfull"), (F.count(F.lit(1)) == F.max("container_id") + 1).alias("numbered"))
+    totals = packed.groupBy("pack_name").agg(F.count_if(F.col("piece_i") == F.col("n_pieces") - 1).alias("documents"), F.sum("tokens").cast("long").alias("tokens"), F.count_if((F.col("piece_i") == 1)).alias("divided"))
+    return totals.join(full, "pack_name")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items that stand in them."""
     return p7_cover(spark, sf_dir).select("doc_id", "item_id").distinct()
@@ -137,5 +164,5 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p2_found, p2_pieces, p3_found, p3_classes, p3_forms, p4_found, p4_sentences, p5_found, p5_segments, p5_chunks, p6_found, p6_containers, p6_fill, p7_found, p7_cover, p8_found, p8_sources)
+    for f in (p1_found, p1_shares, p2_found, p2_pieces, p2_check, p3_found, p3_classes, p3_forms, p4_found, p4_sentences, p5_found, p5_segments, p5_chunks, p6_found, p6_containers, p6_check, p6_fill, p7_found, p7_cover, p8_found, p8_sources)
 }

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 LEAST_WEIGHT = 4
 #: A text is repetitive when at least this share of its letters is labelled repeated.
 REPEATED_SHARE = (1, 3)
-TRAINING_TEXTS, TRAINING_STEPS = 240, 80
+TRAINING_TEXTS, TRAINING_STEPS = 300, 200
 #: Texts that are labelled together.
 ROWS_AT_ONCE = 4000
 
@@ -214,8 +214,8 @@ def fit(found: Sequences, gold: np.ndarray, steps: int = TRAINING_STEPS, rate: f
         node /= node.sum(2, keepdims=True)
         pair = forward[:, :-1, :, None] * move[:, 1:] * (local[:, 1:] * backward[:, 1:])[:, :, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
-        pace = 0.9 * pace + rate * ((wanted_state - np.einsum("stl,stf->lf", node * real[..., None], bits)) / count - ridge * state)
-        turn = 0.9 * turn + rate * ((wanted_move - np.einsum("stij,stk,st->kij", pair, join[:, 1:], real[:, 1:])) / count - ridge * transition)
+        pace = 0.95 * pace + rate * ((wanted_state - np.einsum("stl,stf->lf", node * real[..., None], bits)) / count - ridge * state)
+        turn = 0.95 * turn + rate * ((wanted_move - np.einsum("stij,stk,st->kij", pair, join[:, 1:], real[:, 1:])) / count - ridge * transition)
         state, transition = state + pace, transition + turn
     return Crf(state, transition)
 
@@ -232,20 +232,20 @@ def planted_texts(count: int, seed: int) -> tuple[Sequences, np.ndarray]:
     for _ in range(count):
         weight, number = pick.choice((1, 2)), 0
         least = -(-LEAST_WEIGHT // weight)
-        common = [f"c{k}" for k in range(12)]
+        common = [f"c{k}" for k in range(30)]
         units: list[str] = []
         labels: list[int] = []
         breaks: set[int] = set()
-        for _ in range(pick.randint(2, 5)):
-            for _ in range(pick.randint(1, 7)):
+        for _ in range(pick.randint(2, 4)):
+            for _ in range(pick.randint(1, 5)):
                 number += 1
-                units.append(pick.choice(common) if pick.random() < 0.12 else f"w{number}")
+                units.append(pick.choice(common) if pick.random() < 0.4 else f"w{number}")
                 labels.append(0)
             if pick.random() < 0.4:
                 breaks.add(len(units))
             if pick.random() < 0.7:
                 a = pick.randrange(len(units))
-                passage = units[a : a + pick.randint(1, 14)]
+                passage = units[a : a + pick.randint(1, 9)]
                 run = 0
                 changed = pick.random() < 0.5
                 for unit in [*passage, None]:

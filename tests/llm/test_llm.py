@@ -52,7 +52,7 @@ def test_field_on_held_out_texts():
     found, gold = repetition.planted_texts(300, seed=99)
     labels = crf.decode(found)
     right = lambda x: np.mean(x == gold)
-    assert right(labels) > 0.998
+    assert right(labels) > 0.995
     # No feature alone is the answer, nor are the units without their neighbours.
     single = [right(x) for x in (found.joined, found.seen & 1, found.seen >> 1 & 1, found.seen >> 2)]
     assert max(single) < 0.97 and right(repetition.Crf(crf.state, np.zeros((2, 2, 2))).decode(found)) < 0.97
