@@ -252,16 +252,20 @@ def with_form(df: DataFrame, text: str = "text") -> DataFrame:
     return plain.mapInArrow(_with_forms(text), f"{schema}, form string")
 
 
+_KEYED = "item_kind string, item_id long, p_i int, key long, rest long, spelling long"
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """128 bits of the hash of kind and form, as two numbers, and 64 of that of the stored text."""
     for batch in batches:
+        kinds = [(k or "").encode() for k in batch.column("item_kind").to_pylist()]
         for places, block in blocks_of(batch.column("text").to_pylist()):
             forms = [f.encode("utf-8", "surrogatepass") for f in comparison_forms(block)]
             seen = [k for k, f in enumerate(forms) if f]
             kept = batch.select(["item_kind", "item_id", "p_i"]).take(pa.array([places[k] for k in seen], pa.int32()))
-            exact = [xxhash.xxh3_128_digest(forms[k]) for k in seen]
+            exact = np.frombuffer(b"".join(xxhash.xxh3_128_digest(kinds[places[k]] + b"\0" + forms[k]) for k in seen), ">i8").astype(np.int64).reshape(-1, 2)
             spelling = np.array([xxhash.xxh3_64_intdigest(block[k].encode("utf-8", "surrogatepass")) for k in seen], np.uint64).view(np.int64)
-            key = np.array([int.from_bytes(e[:8]) for e in exact], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(key), pa.array(spelling), pa.array(exact, pa.binary())], names=["item_kind", "item_id", "p_i", "key", "spelling", "exact"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array(spelling)], names=[c.split()[0] for c in _KEYED.split(", ")])
 
 
 def canonical_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -279,17 +283,18 @@ def canonical_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _keyed(items: DataFrame) -> DataFrame:
     keyed = items.select("item_kind", "item_id", "p_i", "text").filter("text <> ''")
-    return keyed.mapInArrow(_keys, "item_kind string, item_id long, p_i int, key long, spelling long, exact binary")
+    return keyed.mapInArrow(_keys, _KEYED)
 
 
 def look_classes(items: DataFrame) -> DataFrame:
     """``item_kind, item_id, p_i, class_id, spelling``: one row for each item that has a visible character.
 
-    Items of one kind look the same exactly when they have one ``class_id`` (128 bits of the hash of their comparison
+    Items of one kind look the same exactly when they have one ``class_id`` (128 bits of the hash of kind and comparison
     form, as hex), and hold the same characters when they have one ``spelling`` too. Linear in the items: no pair is
     made. Null and empty texts are no items.
     """
-    return _keyed(items).select("item_kind", "item_id", "p_i", F.lower(F.hex("exact")).alias("class_id"), F.lower(F.hex("spelling")).alias("spelling"))
+    wide = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return _keyed(items).select("item_kind", "item_id", "p_i", F.concat(wide("key"), wide("rest")).alias("class_id"), wide("spelling").alias("spelling"))
 
 
 def _salted(rows: DataFrame, by: list[str], count: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +316,7 @@ def same_looking_pairs(items: DataFrame, most_per_task: int = 2000) -> DataFrame
     that fill a partition are split by the skew join of adaptive execution.
     """
     keyed = checkpointed(_keyed(items))
-    look = ["item_kind", "key", "exact"]
+    look = ["key", "rest"]  # they hold the kind too
     spellings = keyed.groupBy(*look, "spelling").agg(F.count(F.lit(1)).alias("n"))
     classes = spellings.groupBy(*look).agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1")
     # Few items have a second spelling; only these go on.
@@ -322,7 +327,7 @@ def same_looking_pairs(items: DataFrame, most_per_task: int = 2000) -> DataFrame
     # Each pair of spellings once, the one with more members first.
     pairs = pairs.filter("n_many > n_few or (n_many = n_few and many > few)").select(*look, "many", "few", F.ceil(F.col("n_many") / most_per_task).cast("int").alias("blocks"))
     members = keyed.join(several.select(*look, "spelling"), [*look, "spelling"], "left_semi")
-    many = pairs.join(members.withColumnRenamed("spelling", "many"), [*look, "many"]).select(*look, "many", "few", F.pmod(F.xxhash64("item_id", "p_i"), F.col("blocks")).cast("int").alias("block"), F.struct("item_id", "p_i").alias("x"))
+    many = pairs.join(members.withColumnRenamed("spelling", "many"), [*look, "many"]).select(*look, "many", "few", F.pmod(F.xxhash64("item_id", "p_i"), F.col("blocks")).cast("int").alias("block"), "item_kind", F.struct("item_id", "p_i").alias("x"))
     few = pairs.join(members.withColumnRenamed("spelling", "few"), [*look, "few"]).select(*look, "many", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("item_id", "p_i").alias("y"))
     found = many.join(few, [*look, "many", "few", "block"])
     a, b = F.least("x", "y"), F.greatest("x", "y")
