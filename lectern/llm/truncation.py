@@ -31,6 +31,8 @@ LEAST_ENDINGS = 2
 #: A last word hardly ever ends anything: it stands elsewhere at least so often, and at most this share of that at ends.
 #: Words of lists stand in prose too, far from ends; for them the share is less.
 LEAST_STANDING, HARDLY, HARDLY_LISTED = 40, 0.01, 0.001
+#: Last words are sent to the tasks as a hash table up to this many; beyond, the words of the corpus are shuffled to them.
+BROADCAST_UNITS = 200_000
 #: A last word is the beginning of others: so many occurrences at least, and at most ``HARDLY_LISTED`` of that by itself.
 LEAST_LONGER = 5
 
@@ -207,7 +209,9 @@ def standing(documents: DataFrame, features: DataFrame) -> DataFrame:
     places = words.select(F.explode(F.when(word.rlike(f"{_UNSPACED}$"), grams).when(size > 2, F.concat(whole, begins)).otherwise(whole)).alias("p")).select("p.*")
     line_ends = features.filter(~F.col("spaceless")).select(F.explode("endings").alias("tail")).select(_unit(F.reverse("tail")).alias("unit"), F.lit(1).cast("long").alias("at_end"), none.alias("inside"), none.alias("longer"))
     sums = [F.sum(c).alias(c) for c in ("at_end", "inside", "longer")]
-    found = places.unionByName(line_ends).join(finals.select("unit"), "unit", "left_semi").groupBy("unit").agg(*sums)
+    units = finals.select("unit")
+    units = F.broadcast(units) if finals.count() <= BROADCAST_UNITS else units
+    found = places.unionByName(line_ends).join(units, "unit", "left_semi").groupBy("unit").agg(*sums)
     # The last words of the texts themselves are no evidence for themselves.
     return found.join(finals, "unit").select("unit", F.when(F.col("unit").rlike(f"{_SPACELESS}$"), F.greatest(F.col("at_end") - F.col("finals"), none)).otherwise(F.col("at_end")).alias("at_end"), (F.col("inside") - F.col("finals")).alias("inside"), "longer")
 
