@@ -37,7 +37,10 @@ NON_TERMINAL = {
 QUOTE_PAIRS = (("«", "»"), ("“", "”"), ("„", "“"), ('"', '"'))
 TITLE_WORDS, TITLE_CHARS = 5, 48
 # How letters are said in English; acronyms said as words; words that are acronyms in capitals.
-LETTER_SAID = dict(zip("abcdefghijklmnopqrstuvwxyz", "ay bee see dee ee eff gee aitch eye jay kay el em en oh pee cue ar ess tee you vee double-you ex why zee".split()))
+LETTER_SAID = {
+    "a": "ay", "b": "bee", "c": "see", "d": "dee", "e": "ee", "f": "eff", "g": "gee", "h": "aitch", "i": "eye", "j": "jay", "k": "kay", "l": "el", "m": "em",
+    "n": "en", "o": "oh", "p": "pee", "q": "cue", "r": "ar", "s": "ess", "t": "tee", "u": "you", "v": "vee", "w": "double-you", "x": "ex", "y": "why", "z": "zee",
+}
 SAID_AS_WORD = {"OK": "okay", "OKAY": "okay", "NASA": "NASA", "SETI": "SETI"}
 ALWAYS_ACRONYM = {"ID", "US", "UK", "UN", "AI", "TV", "PM", "AM"}
 SAFE_ROMAN = {
