@@ -9,10 +9,11 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,46 +38,93 @@ def _xml(text: str | None) -> str:
     return html.escape(_NOT_XML.sub("", text or ""))
 
 
-def _archive(book: int, title: str | None, author: str | None, language: str | None, chapters: list) -> bytes:
-    """A book with a page for each chapter. Its table of contents is a map of points, a list of links, or, of every
-    third book, absent."""
-    out = io.BytesIO()
-    page = lambda body: f'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body>{body}</body></html>'
-    kind = ("ncx", "nav", "none")[book % 3]
-    items = [f'<item id="c{c}" href="text/c{c}.xhtml" media-type="application/xhtml+xml"/>' for c, _ in chapters]
-    items.append('<item id="art" href="img/cover.png" media-type="image/png" properties="cover-image"/>')
-    if kind == "ncx":
-        items.append('<item id="toc" href="toc.ncx" media-type="application/x-dtbncx+xml"/>')
-    if kind == "nav":
-        items.append('<item id="toc" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>')
-    refs = "".join(f'<itemref idref="c{c}"/>' for c, _ in chapters)
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="b/book.opf"/></rootfiles></container>')
-        meta = f"<dc:title>{_xml(title)}</dc:title><dc:creator>{_xml(author)}</dc:creator><dc:language>{_xml(language)}</dc:language>"
-        z.writestr("b/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{meta}</metadata><manifest>{"".join(items)}</manifest><spine>{refs}</spine></package>')
-        for c, paragraphs in chapters:
-            z.writestr(f"b/text/c{c}.xhtml", page(f'<h2 id="h">Part {c}</h2>' + "".join(f"<p>{_xml(p)}</p>" for p in paragraphs)))
+class _Book:
+    """An archive that grows by a page for each chapter. Its table of contents is a map of points, a list of links, or,
+    of every third book, absent."""
+
+    def __init__(self, book: int, title: str | None, author: str | None, language: str | None) -> None:
+        self.book, self.chapters, self.out = book, [], io.BytesIO()
+        self.meta = f"<dc:title>{_xml(title)}</dc:title><dc:creator>{_xml(author)}</dc:creator><dc:language>{_xml(language)}</dc:language>"
+        self.zip = zipfile.ZipFile(self.out, "w")
+
+    def add(self, c: int, paragraphs: list[str | None]) -> None:
+        body = f'<h2 id="h">Part {c}</h2>' + "".join(f"<p>{_xml(p)}</p>" for p in paragraphs)
+        self.zip.writestr(f"b/text/c{c}.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body>{body}</body></html>')
+        self.chapters.append(c)
+
+    def content(self) -> bytes:
+        kind = ("ncx", "nav", "none")[self.book % 3]
+        items = [f'<item id="c{c}" href="text/c{c}.xhtml" media-type="application/xhtml+xml"/>' for c in self.chapters]
+        items.append('<item id="art" href="img/cover.png" media-type="image/png" properties="cover-image"/>')
         if kind == "ncx":
-            points = "".join(f'<navPoint><navLabel><text>Part {c}</text></navLabel><content src="text/c{c}.xhtml#h"/></navPoint>' for c, _ in chapters)
-            z.writestr("b/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{points}</navMap></ncx>')
+            items.append('<item id="toc" href="toc.ncx" media-type="application/x-dtbncx+xml"/>')
         if kind == "nav":
-            links = "".join(f'<li><a href="text/c{c}.xhtml">Part {c}</a></li>' for c, _ in chapters)
-            z.writestr("b/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>')
-        z.writestr("b/img/cover.png", f"cover {book}")
-    return out.getvalue()
+            items.append('<item id="toc" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>')
+        refs = "".join(f'<itemref idref="c{c}"/>' for c in self.chapters)
+        with self.zip as z:
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="b/book.opf"/></rootfiles></container>')
+            z.writestr("b/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{self.meta}</metadata><manifest>{"".join(items)}</manifest><spine>{refs}</spine></package>')
+            if kind == "ncx":
+                points = "".join(f'<navPoint><navLabel><text>Part {c}</text></navLabel><content src="text/c{c}.xhtml#h"/></navPoint>' for c in self.chapters)
+                z.writestr("b/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{points}</navMap></ncx>')
+            if kind == "nav":
+                links = "".join(f'<li><a href="text/c{c}.xhtml">Part {c}</a></li>' for c in self.chapters)
+                z.writestr("b/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>')
+            z.writestr("b/img/cover.png", f"cover {self.book}")
+        return self.out.getvalue()
+
+
+#: Bytes of archives after which a batch leaves the worker.
+_BATCH_BYTES = 4_000_000
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, content`` of rows sorted by book: first the book's own rows, then its chapters, added as they come."""
+    book, open_books, paths, contents = None, [], [], []
+
+    def closed() -> None:
+        for made in open_books:
+            if made.chapters:
+                paths.append(f"books/{made.book}.epub")
+                contents.append(made.content())
+        open_books.clear()
+
+    def batch_made() -> pa.RecordBatch:
+        found = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+        paths.clear()
+        contents.clear()
+        return found
+
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns))
+        for k, (b, is_chapter) in enumerate(zip(columns["book_id"].to_pylist(), columns["is_chapter"].to_pylist())):
+            if b != book:
+                closed()
+                book = b
+                if sum(map(len, contents)) > _BATCH_BYTES:
+                    yield batch_made()
+            if is_chapter:
+                for made in open_books:
+                    made.add(columns["chapter_id"][k].as_py(), columns["paragraphs"][k].as_py())
+            else:
+                open_books.append(_Book(b, *(columns[c][k].as_py() for c in ("title", "author", "language"))))
+    closed()
+    yield batch_made()
+
+
+def _in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the books and their chapters that :func:`_made` takes."""
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    chapters = read(spark, sf_dir, "chapters").select("book_id", F.lit(True).alias("is_chapter"), "chapter_id", F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"), *nothing("string", "title", "author", "language"))
+    books = read(spark, sf_dir, "books").select("book_id", F.lit(False).alias("is_chapter"), *nothing("long", "chapter_id"), *nothing("array<string>", "paragraphs"), "title", "author", "language")
+    # One shuffle of both brings a book together in order, and a book of any length passes through as rows. A join could
+    # be split where a book is large, so that its chapters were in several tasks.
+    return books.unionByName(chapters).filter("book_id IS NOT NULL").repartition("book_id").sortWithinPartitions("book_id", "is_chapter", "chapter_id", "paragraphs")
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: an archive of each book that has chapters."""
-    chapters = read(spark, sf_dir, "chapters").select("book_id", F.struct("chapter_id", F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs")).alias("c"))
-    books = read(spark, sf_dir, "books").select("book_id", "title", "author", "language")
-    rows = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list("c")).alias("chapters")).join(books, "book_id")
-
-    @F.pandas_udf("binary")
-    def made(book: pd.Series, title: pd.Series, author: pd.Series, language: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([_archive(b, t, a, l, [(c["chapter_id"], list(c["paragraphs"])) for c in p]) for b, t, a, l, p in zip(book, title, author, language, parts)])  # noqa: E741
-
-    return rows.select(F.concat(F.lit("books/"), "book_id", F.lit(".epub")).alias("path"), made("book_id", "title", "author", "language", "chapters").alias("content"))
+    return _in_order(spark, sf_dir).mapInArrow(_made, "path string, content binary")
 
 
 def _id(path: str) -> F.Column:
@@ -94,7 +142,7 @@ def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chapters of every archive, by whichever table of contents it has."""
-    found = epub.chapters(epub.parse_epubs(archives(spark, sf_dir)))
+    found = epub.archive_chapters(_in_order(spark, sf_dir), _made)
     return found.select(_id("book_id").alias("book_id"), "chapter_index", "title", "src", F.size("paragraphs").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n")).alias("digest"))
 
 

@@ -1,8 +1,8 @@
 """EPUB files as tables.
 
 Each archive is opened once, in an Arrow batch, and yields plain records: metadata, manifest, spine, entries of the
-table of contents and paragraphs under their anchors. What is a lookup, a fallback or a grouping is done on these
-tables by :mod:`lectern.operators.structure` and the functions below.
+table of contents and paragraphs under their anchors. The paragraphs of an entry are looked up where the archive is
+read, file by file; which entries are chapters, their titles and numbers are decided on tables by the functions below.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import re
 import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import structure
 
 # Names of the formats, tags of blocks and of what is skipped.
@@ -35,6 +37,20 @@ SCHEMA = (
     "spine array<string>, toc array<struct<nav_path: array<string>, file: string, anchor: string>>, "
     "paragraphs array<struct<file: string, anchor: string, p_i: int, text: string>>, warnings array<string>"
 )
+META = ("title", "author", "language", "publisher", "pub_date", "identifier")
+#: What the tasks find of a book: a row for each entry that has text and each file that no entry names (``loose``); or,
+#: where asked for, one row of its metadata.
+_FOUND = pa.schema(
+    [("book_id", pa.string()), ("meta", pa.struct([*((c, pa.string()) for c in META), ("warnings", pa.list_(pa.string()))])), ("loose", pa.bool_()), ("position", pa.int32()), ("entry", pa.int32())]
+    + [("nav_path", pa.list_(pa.string())), ("file", pa.string()), ("anchor", pa.string()), ("paragraphs", pa.list_(pa.string()))]
+)
+_FOUND_DDL = (
+    f"book_id string, meta struct<{', '.join(f'{c}: string' for c in META)}, warnings: array<string>>, loose boolean, position int, entry int, "
+    "nav_path array<string>, file string, anchor string, paragraphs array<string>"
+)
+Make = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Characters of text after which a batch of rows leaves the worker.
+BATCH_CHARS = 1_000_000
 
 
 def clean(text: str) -> str:
@@ -142,14 +158,14 @@ def _nav(archive: _Archive, path: str) -> list[tuple[list[str], str, str]]:
     return out
 
 
-def parse(path: str, data: bytes) -> dict:
-    """The record of one archive, with the columns of ``SCHEMA``; what cannot be read is a warning."""
-    empty = dict.fromkeys(("title", "author", "language", "publisher", "pub_date", "identifier", "cover_id"), "")
+def _opened(path: str, data: bytes) -> tuple[dict, _Archive | None]:
+    """The record of an archive without paragraphs, and the archive, or a warning and None."""
+    empty = dict.fromkeys((*META, "cover_id"), "")
     record = {"path": path, **empty, "manifest": [], "spine": [], "toc": [], "paragraphs": [], "warnings": []}
     try:
         archive = _Archive(data)
     except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as error:
-        return record | {"warnings": [f"not an EPUB: {error}"]}
+        return record | {"warnings": [f"not an EPUB: {error}"]}, None
     for column, tag in (("title", "title"), ("author", "creator"), ("language", "language"), ("publisher", "publisher"), ("pub_date", "date"), ("identifier", "identifier")):
         record[column] = text_of(archive.opf.find(f".//{DC}{tag}"))
     record["language"] = record["language"].lower()
@@ -158,7 +174,6 @@ def parse(path: str, data: bytes) -> dict:
     cover = archive.opf.find(f".//{OPF}metadata/{OPF}meta[@name='cover']")
     record["cover_id"] = cover.get("content", "") if cover is not None else ""
     record["spine"] = [r.get("idref", "") for r in archive.opf.findall(f".//{OPF}spine/{OPF}itemref")]
-    files = {m["id"]: m["href"] for m in record["manifest"]}
     toc: list[tuple[list[str], str, str]] = []
     try:
         ncx = next((m["href"] for m in record["manifest"] if m["type"] == NCX_TYPE), None)
@@ -167,17 +182,32 @@ def parse(path: str, data: bytes) -> dict:
     except (KeyError, ET.ParseError) as error:
         record["warnings"].append(f"unreadable table of contents: {error}")
     record["toc"] = [{"nav_path": trail, "file": file, "anchor": anchor} for trail, file, anchor in toc]
-    wanted = dict.fromkeys([*(file for _, file, _ in toc), *(files[i] for i in record["spine"] if files.get(i))])
-    for file in wanted:
-        anchors = {a for _, f, a in toc if f == file and a}
+    return record, archive
+
+
+def _pages(record: dict, archive: _Archive) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """Each file of the table of contents and the spine with its ``(anchor, text)``; warnings go to the record."""
+    files = {m["id"]: m["href"] for m in record["manifest"]}
+    anchors: dict[str, set[str]] = {}
+    for entry in record["toc"]:
+        anchors.setdefault(entry["file"], set()).update({entry["anchor"]} - {""})
+    for file in dict.fromkeys([*anchors, *(files[i] for i in record["spine"] if files.get(i))]):
+        wanted = anchors.get(file, set())
         try:
-            found, seen = paragraphs_of(archive.xml(file), anchors)
+            found, seen = paragraphs_of(archive.xml(file), wanted)
         except (KeyError, ET.ParseError) as error:
             record["warnings"].append(f"could not parse {file}: {error}")
             continue
+        if wanted - seen:
+            record["warnings"].append(f"{file}: anchors not found: {sorted(wanted - seen)}")
+        yield file, found
+
+
+def parse(path: str, data: bytes) -> dict:
+    """The record of one archive, with the columns of ``SCHEMA``; what cannot be read is a warning."""
+    record, archive = _opened(path, data)
+    for file, found in _pages(record, archive) if archive else ():
         record["paragraphs"] += [{"file": file, "anchor": anchor, "p_i": k, "text": text} for k, (anchor, text) in enumerate(found)]
-        if anchors - seen:
-            record["warnings"].append(f"{file}: anchors not found: {sorted(anchors - seen)}")
     return record
 
 
@@ -243,26 +273,111 @@ def book_json(books: DataFrame, made: DataFrame) -> DataFrame:
     return meta.join(rows, "book_id", "left").select("book_id", F.to_json(F.struct("title", "author", "language", "publisher", "pub_date", "identifier", "warnings", "char_count", "chapters")).alias("json"))
 
 
+class _Places:
+    """Where the files of a book stand: positions in the spine, and the entries of each file.
+
+    A book without a table of contents has an entry for each file of its spine, with the place of the file as number and
+    without a label.
+    """
+
+    def __init__(self, book: str, manifest: list[dict], spine: list[str], toc: list[dict]) -> None:
+        self.book, self.positions, hrefs = book, {}, {}
+        for item in manifest:
+            if item["href"]:
+                hrefs.setdefault(item["id"], []).append(item["href"])
+        for position, item in enumerate(spine):
+            for file in hrefs.get(item, ()):
+                self.positions.setdefault(file, position)
+        self.entries: dict[str, list[tuple[int, list[str] | None, str]]] = {} if toc else {f: [(p, None, "")] for f, p in self.positions.items()}
+        for k, entry in enumerate(toc):
+            self.entries.setdefault(entry["file"], []).append((k, entry["nav_path"], entry["anchor"]))
+
+    def rows(self, file: str, page: list[tuple[str, str]]) -> Iterator[dict]:
+        """The rows of one file with its ``(anchor, text)``."""
+        place = {"book_id": self.book, "meta": None, "position": self.positions.get(file, structure.UNKNOWN_POSITION), "file": file}
+        if file in self.entries:
+            texts: dict[str, list[str]] = {}
+            for anchor, text in page:
+                if text:
+                    texts.setdefault(anchor, []).append(text)
+            for entry, nav_path, anchor in self.entries[file]:
+                if anchor in texts:
+                    yield place | {"loose": False, "entry": entry, "nav_path": nav_path, "anchor": anchor, "paragraphs": texts[anchor]}
+        elif file in self.positions and sum(len(text) for _, text in page) > structure.UNLISTED_LEAST:
+            yield place | {"loose": True, "entry": 0, "nav_path": [], "anchor": "", "paragraphs": [text for _, text in page]}
+
+
+def _batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Batches of some text each, so that a book of any length leaves the worker as it is read."""
+    kept, chars = [], 0
+    for row in rows:
+        kept.append(row)
+        chars += 100 + sum(map(len, row["paragraphs"] or ()))
+        if chars > BATCH_CHARS:
+            yield pa.RecordBatch.from_pylist(kept, _FOUND)
+            kept, chars = [], 0
+    yield pa.RecordBatch.from_pylist(kept, _FOUND)
+
+
+def _found_in(files: DataFrame, make: Make | None = None, meta: bool = False) -> DataFrame:
+    """The rows of ``_FOUND`` of archives ``path, content``, each opened once and read file by file."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in make(batches) if make else batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                record, archive = _opened(path.as_py(), content.as_py())
+                places = _Places(record["path"], record["manifest"], record["spine"], record["toc"])
+                for file, page in _pages(record, archive) if archive else ():
+                    yield from places.rows(file, page)
+                if meta:
+                    yield dict.fromkeys(_FOUND.names) | {"book_id": record["path"], "meta": {c: record[c] for c in (*META, "warnings")}}
+
+    return (files if make else files.select("path", "content")).mapInArrow(lambda batches: _batched(read(batches)), _FOUND_DDL)
+
+
+def _numbered(found: DataFrame, meta: bool = False) -> DataFrame:
+    """Chapters of the rows of ``_FOUND``: entries that name no content or have no text are dropped, as is a first
+    paragraph that repeats the label. Entries follow the spine, unknown files last, then files that no entry names.
+    With ``meta``, a row of metadata is kept, in a column of its own and without number."""
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", "")
+    label, none = F.try_element_at("nav_path", F.lit(-1)), F.array().cast("array<string>")
+    named = found.withColumn("nav_path", F.coalesce("nav_path", F.array(stem)))
+    repeats = ~F.col("loose") & F.coalesce(F.lower(F.try_element_at("paragraphs", F.lit(1))) == F.lower(label), F.lit(False))
+    bare = named.withColumn("paragraphs", F.when(repeats, F.slice("paragraphs", 2, F.size("paragraphs"))).otherwise(F.col("paragraphs")))
+    kept = bare.filter(F.col("meta").isNotNull() | F.col("loose") | (~T.is_non_content(label, F.col("nav_path")) & (F.size("paragraphs") > 0)))
+    number = F.row_number().over(structure.W.partitionBy("book_id").orderBy(F.col("meta").isNull(), "loose", "position", "entry", "file"))
+    return kept.select(
+        "book_id", (F.when(F.col("meta").isNull(), number - 1) if meta else number).alias("chapter_index"), F.when(F.col("loose"), stem).otherwise(T.flatten_title(F.col("nav_path"))).alias("title"),
+        "nav_path", F.concat_ws("#", "file", F.nullif("anchor", F.lit(""))).alias("src"), "paragraphs",
+        F.when(F.col("loose"), F.array(F.concat(F.lit("not in the table of contents: "), "file"))).otherwise(none).alias("warnings"), *(["meta"] if meta else []),
+    )
+
+
+def archive_chapters(files: DataFrame, make: Make | None = None) -> DataFrame:
+    """:func:`chapters` of archives ``path, content``: each is read once, and no row holds the text of a whole book.
+
+    With ``make``, ``files`` are other rows, of whose batches it makes ``path, content`` in the worker that reads them,
+    so that archives do not cross to Spark and back.
+    """
+    return _numbered(_found_in(files, make))
+
+
 def chapters(books: DataFrame) -> DataFrame:
     """``book_id, chapter_index, title, nav_path, src, paragraphs, warnings``: the chapters of all books.
 
     A book without a table of contents has an entry for each file of its spine. Files that no entry names are appended
     where they hold more text than a title page, with a warning.
     """
-    spine = spine_of(books)
-    listed = books.select(F.col("path").alias("book_id"), F.posexplode("toc").alias("entry", "t")).select("book_id", "entry", "t.nav_path", "t.file", "t.anchor")
-    whole = spine.join(listed.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.col("position").alias("entry"), F.array(F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", "")).alias("nav_path"), "file", F.lit("").alias("anchor"))
-    toc = listed.unionByName(whole)
-    texts = books.select(F.col("path").alias("book_id"), F.explode("paragraphs").alias("p")).select("book_id", "p.*")
-    made = structure.chapters_of(toc, spine, texts)
-    loose = texts.withColumn("key", F.struct("book_id", "file")).join(spine, ["book_id", "file"], "left_semi")
-    rest = structure.unlisted_text(loose, toc.select(F.struct("book_id", "file").alias("key")), "key").select("key.book_id", "key.file")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_i", "text"))), lambda x: x["text"])
-    more = texts.join(rest, ["book_id", "file"]).groupBy("book_id", "file").agg(ordered.alias("paragraphs")).join(spine, ["book_id", "file"])
-    counts = made.groupBy("book_id").agg(F.max("chapter_index").alias("made"))
-    by = F.row_number().over(structure.W.partitionBy("book_id").orderBy("position"))
-    appended = more.withColumn("n", by).join(counts, "book_id", "left").select(
-        "book_id", (F.coalesce("made", F.lit(0)) + F.col("n")).cast("int").alias("chapter_index"), F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", "").alias("title"),
-        F.array().cast("array<string>").alias("nav_path"), F.col("file").alias("src"), "paragraphs", F.array(F.concat(F.lit("not in the table of contents: "), "file")).alias("warnings"),
-    )
-    return made.withColumn("warnings", F.array().cast("array<string>")).unionByName(appended)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                book = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                places = _Places(book["path"], book["manifest"], book["spine"], book["toc"])
+                pages: dict[str, list[tuple[int, str, str]]] = {}
+                for p in book["paragraphs"]:
+                    pages.setdefault(p["file"], []).append((p["p_i"], p["text"], p["anchor"]))
+                for file, page in pages.items():
+                    yield from places.rows(file, [(anchor, text) for _, text, anchor in sorted(page)])
+
+    return _numbered(books.select("path", "manifest", "spine", "toc", "paragraphs").mapInArrow(lambda batches: _batched(look_up(batches)), _FOUND_DDL))

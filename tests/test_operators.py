@@ -332,3 +332,38 @@ def test_stream_agrees_with_batch(spark, sf_dir, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert collected(spark.table("windows")) == collected(events.windowed_counts(batch))
+
+
+def workers_in(df):
+    """How often the plan of a query sends rows to Python, and how many joins it has."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("MapIn") + plan.count("ArrowEvalPython"), plan.count("Join ")
+
+
+def test_chapters_open_each_archive_once(spark, sf_dir, tmp_path):
+    from lectern.plans import sources
+
+    assert workers_in(sources.epub_chapters(spark, sf_dir)) == (1, 0)
+    book(tmp_path / "k.epub")
+    (tmp_path / "bad.epub").write_bytes(b"no zip")
+    made = epub.chapters(epub.read_epubs(spark, str(tmp_path)))
+    assert workers_in(made) == (2, 0)
+    assert collected(epub.archive_chapters(epub.archives(spark, str(tmp_path)))) == collected(made) and made.count() == 3
+
+
+def test_entries_are_looked_up_in_their_files():
+    manifest = [{"id": i, "href": h} for i, h in (("a", "o/a"), ("b", "o/b"), ("b", "o/c"), ("d", ""), ("e", "o/e"))]
+    toc = [{"nav_path": ["x"], "file": "o/a", "anchor": "x"}, {"nav_path": ["x again"], "file": "o/a", "anchor": "x"}, {"nav_path": ["lost"], "file": "o/a", "anchor": "z"}, {"nav_path": ["f"], "file": "o/f", "anchor": ""}]
+    places = epub._Places("k", manifest, ["b", "a", "none", "b", "e"], toc)
+    found = lambda file, page: [(r["loose"], r["position"], r["entry"], r["nav_path"], r["paragraphs"]) for r in places.rows(file, page)]
+    assert found("o/a", [("", "before"), ("x", "1"), ("y", "2"), ("x", ""), ("x", "3")]) == [(False, 1, 0, ["x"], ["1", "3"]), (False, 1, 1, ["x again"], ["1", "3"])]
+    assert found("o/f", [("", "t")]) == [(False, 1_000_000, 3, ["f"], ["t"])]  # outside the spine
+    long = [("", "t" * 501)]
+    assert found("o/c", long) == [(True, 0, 0, [], ["t" * 501])] and found("o/e", [("", "t" * 500)]) == [] and found("o/g", long) == []
+    assert [r["nav_path"] for r in epub._Places("k", manifest, ["a"], []).rows("o/a", [("", "t")])] == [None]
+
+
+def test_long_books_leave_the_worker_in_parts():
+    row = {**dict.fromkeys(epub._FOUND.names), "book_id": "k", "paragraphs": ["t" * 100_000]}
+    batches = list(epub._batched(iter([row] * 25)))
+    assert len(batches) > 2 and sum(b.num_rows for b in batches) == 25
