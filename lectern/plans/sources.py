@@ -155,9 +155,8 @@ def epub_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def epub_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some figures of the record that is written of every book."""
-    books = epub.parse_epubs(archives(spark, sf_dir))
     record = F.from_json("json", "title string, char_count long, chapters array<struct<chapter_index: int, title: string>>")
-    return epub.book_json(books, epub.chapters(books)).select(_id("book_id").alias("book_id"), record.alias("r")).select("book_id", F.col("r.title").alias("title"), F.coalesce("r.char_count", F.lit(0)).cast("long").alias("chars"), F.coalesce(F.size("r.chapters"), F.lit(0)).alias("chapters"))
+    return epub.archive_json(_in_order(spark, sf_dir), _made).select(_id("book_id").alias("book_id"), record.alias("r")).select("book_id", F.col("r.title").alias("title"), F.coalesce("r.char_count", F.lit(0)).cast("long").alias("chars"), F.coalesce(F.size("r.chapters"), F.lit(0)).alias("chapters"))
 
 
 @query

@@ -13,7 +13,7 @@ import re
 import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -267,10 +267,28 @@ def cover_images(files: DataFrame) -> DataFrame:
 
 def book_json(books: DataFrame, made: DataFrame) -> DataFrame:
     """``book_id, json``: each book with its chapters and the counts that follow from them."""
+    meta = books.select(F.col("path").alias("book_id"), *META, "warnings")
+    return meta.join(_gathered(made), "book_id", "left").select("book_id", _json(META, "warnings").alias("json"))
+
+
+def archive_json(files: DataFrame, make: Make | None = None) -> DataFrame:
+    """:func:`book_json` of archives ``path, content``: each is read once, and its metadata travel with its chapters.
+    With ``make``, as in :func:`archive_chapters`."""
+    made = _numbered(_found_in(files, make, meta=True), meta=True)
+    return _gathered(made, F.first("meta", ignorenulls=True).alias("meta")).select("book_id", _json([f"meta.{c}" for c in META], "meta.warnings").alias("json"))
+
+
+def _gathered(made: DataFrame, *more: F.Column) -> DataFrame:
+    """``book_id, chapters, char_count`` of chapters; both null where a book has none."""
     chars = F.aggregate("paragraphs", F.lit(0), lambda s, p: s + F.length(p))
-    rows = made.withColumn("char_count", chars).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "title", "nav_path", "src", "paragraphs", "char_count"))).alias("chapters"), F.sum("char_count").alias("char_count"))
-    meta = books.select(F.col("path").alias("book_id"), "title", "author", "language", "publisher", "pub_date", "identifier", "warnings")
-    return meta.join(rows, "book_id", "left").select("book_id", F.to_json(F.struct("title", "author", "language", "publisher", "pub_date", "identifier", "warnings", "char_count", "chapters")).alias("json"))
+    chapter = F.struct("chapter_index", "title", "nav_path", "src", "paragraphs", "char_count")
+    chapters_in_order = F.array_sort(F.collect_list(F.when(F.col("chapter_index").isNotNull(), chapter)))
+    rows = made.withColumn("char_count", chars).groupBy("book_id").agg(chapters_in_order.alias("chapters"), F.sum("char_count").alias("char_count"), *more)
+    return rows.withColumn("chapters", F.when(F.size("chapters") > 0, F.col("chapters")))
+
+
+def _json(meta: Sequence[str], warnings: str) -> F.Column:
+    return F.to_json(F.struct(*meta, warnings, "char_count", "chapters"))
 
 
 class _Places:

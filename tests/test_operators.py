@@ -367,3 +367,17 @@ def test_long_books_leave_the_worker_in_parts():
     row = {**dict.fromkeys(epub._FOUND.names), "book_id": "k", "paragraphs": ["t" * 100_000]}
     batches = list(epub._batched(iter([row] * 25)))
     assert len(batches) > 2 and sum(b.num_rows for b in batches) == 25
+
+
+def test_records_open_each_archive_once(spark, sf_dir, tmp_path):
+    from lectern.plans import sources
+
+    assert workers_in(sources.epub_json(spark, sf_dir)) == (1, 0)
+    book(tmp_path / "k.epub")
+    book(tmp_path / "without.epub", toc=False)
+    (tmp_path / "bad.epub").write_bytes(b"no zip")
+    books = epub.read_epubs(spark, str(tmp_path))
+    found = collected(epub.archive_json(epub.archives(spark, str(tmp_path))))
+    assert found == collected(epub.book_json(books, epub.chapters(books))) and len(found) == 3
+    none = next(json.loads(text) for path, text in found if path.endswith("bad.epub"))
+    assert "chapters" not in none and "not an EPUB" in none["warnings"][0]
